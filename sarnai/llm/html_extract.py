@@ -313,10 +313,14 @@ def labelled_pages(n: int = PAGES, seed: int = 11) -> list[tuple[str, list[str]]
     for k in range(n):
         odd = k % 5 == 0
         body, kept = main()
-        before = [nav()] + [f() for f, p in ((advert, 0.5), (notice, 0.3), (form, 0.1), (share, 0.1)) if chance(p)]
+        before = [f() for f, p in ((nav, 0.75), (advert, 0.4), (notice, 0.25), (form, 0.1), (share, 0.1)) if chance(p)]
         after = [f() for f, p in ((side, 0.35), (reader_comments, 0.3), (advert, 0.2), (form, 0.15), (notice, 0.1), (footer, 0.95)) if chance(p)]
         if chance(0.15):
             before.append(side())
+        if chance(0.2):  # an article with nothing before it, nothing after it, or neither
+            before = []
+        if chance(0.2):
+            after = []
         page = f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><script>var t='</p>';</script></head><body>{''.join(before)}{body}{''.join(after)}</body></html>"
         pages.append((page, kept))
     return pages
