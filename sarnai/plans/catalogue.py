@@ -190,7 +190,7 @@ def vowel_rows(spark, sf_dir):
 
 @query(
     f"""WITH t AS ({_tokens('documents', 'doc_id')}), d AS (SELECT DISTINCT word FROM ({_tokens('benchmark')})), y AS (SELECT DISTINCT word FROM t),
-    s AS (SELECT word, CASE WHEN word IN (FROM d) THEN 'dict' WHEN contains(word, '-') AND (SELECT bool_and(p IN (FROM d)) FROM unnest(string_split(word, '-')) u(p)) THEN 'split' ELSE 'model' END AS s FROM y)
+    s AS (SELECT word, CASE WHEN word IN (FROM d) THEN 'dict' WHEN (SELECT count(*) > 1 AND bool_and(p IN (FROM d) OR length(p) > 2) FROM unnest(string_split(word, '-')) u(p) WHERE p <> '') THEN 'split' ELSE 'model' END AS s FROM y)
     SELECT k AS doc_id, count_if(s = 'dict') AS n_dict, count_if(s = 'split') AS n_split, count_if(s = 'model') AS n_model FROM t JOIN s USING (word) GROUP BY k"""
 )
 def lexicon_provenance(spark, sf_dir):
@@ -260,7 +260,7 @@ def letters_candidates(spark, sf_dir):
 
 @query(
     """WITH t AS (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a, text AS b FROM conversations),
-    s AS (SELECT conv_id, turn, regexp_split_to_array(trim(a, E' \\n'), '\\s+') AS x, regexp_split_to_array(trim(b, E' \\n'), '\\s+') AS y FROM t WHERE a IS NOT NULL)
+    s AS (SELECT conv_id, turn, regexp_extract_all(a, '[\\w\\pL''-]+') AS x, regexp_extract_all(b, '[\\w\\pL''-]+') AS y FROM t WHERE a IS NOT NULL)
     SELECT conv_id, turn, (CASE WHEN len(x) <> len(y) THEN 1 ELSE len(list_filter(list_zip(x, y), lambda p: p[1] <> p[2])) END)::INT AS n_pairs FROM s"""
 )
 def diff_words(spark, sf_dir):
