@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sarnai.operators import lexicon, ordered, store
-from sarnai.plans import catalogue
+from sarnai.plans import catalogue, dialogue  # noqa: F401 - dialogue registers its queries
 from sarnai.sources import readers
 from sarnai.streaming import corrections
 
