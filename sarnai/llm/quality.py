@@ -114,7 +114,7 @@ class Rules:
         return n, chars, symbols, duplicate_lines(raw), repeats, n < LEAST_WORDS or 100 * repeats > MOST_REPEATED * n
 
     def measures(self, text: str, chars: int) -> tuple[str, float, float, float, int]:
-        ids = self.bytes.ids(text)
+        ids = self.bytes.ordinary_ids(text)
         n = len(ids)
         if not n:
             return "NONE", 0.0, 0.0, 0.0, 0

@@ -4,31 +4,38 @@ measured on long-tailed text, looking words up costs more than encoding them aga
 from __future__ import annotations
 
 import base64
+import json
 
 import numpy as np
 import public_tokenizers
 import sentencepiece
 import tiktoken
 
-BYTE_BPE, PIECE_BPE = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
+BYTE_BPE, BYTE_BPE_JSON, PIECE_BPE = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 class ByteLevel:
     """ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them for byte_bpe_50k.json.
 
     The same vocabulary is read as ranks, whose encoder is several times faster; a test holds one against
-    the other. Control strings of the vocabulary in a text are ordinary text.
+    the other. Its control strings in a text are one id each, as there; ``ordinary_ids`` takes them as plain text.
     """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, description: str | None = None):
         with open(path or public_tokenizers.path(BYTE_BPE), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.size = len(ranks)
+        with open(description or public_tokenizers.path(BYTE_BPE_JSON), encoding="utf-8") as f:
+            control = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        ranks = {piece: rank for piece, rank in ranks.items() if rank not in control.values()}
+        self.size = len(ranks) + len(control)
         self.encoding = tiktoken.Encoding(
-            "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=control
         )
 
     def ids(self, text: str) -> np.ndarray:
+        return np.array(self.encoding.encode(text, allowed_special="all"), dtype=np.uint32)
+
+    def ordinary_ids(self, text: str) -> np.ndarray:
         return np.array(self.encoding.encode_ordinary(text), dtype=np.uint32)
 
 

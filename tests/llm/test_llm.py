@@ -337,3 +337,9 @@ def test_pipeline_by_brute_force(spark):
     assert all(counts[i] * r["size"] == r["taken"] for i, r in report.items())
     check_pieces(packing.pack_documents(mixed, with_ids=True).collect(), [r["text"] for r in mixed.collect()])
     assert sys.modules["corpus_pipeline"].ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|>", " a<|endoftext|> b", "x\n<|endoftext|><|endoftext|>\n\n y", "<|endoftext|", "<|im_end|> a"])
+def test_control_strings_have_the_ids_of_the_other_library(text):
+    assert ENCODER.ids(text).tolist() == REFERENCE.encode(text, add_special_tokens=False).ids
+    assert 50256 not in ENCODER.ordinary_ids(text)
