@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sarnai.functions import messages as M
-from sarnai.operators import layout, letters, lexicon, reading
+from sarnai.operators import convert, layout, letters, lexicon, reading
 from sarnai.plans.catalogue import NGRAMS, _tokens, load, query
 from sarnai.ship import ship
 
@@ -196,3 +196,27 @@ def best_readings(spark, sf_dir):
 def context_types(spark, sf_dir):
     counts = lexicon.ngram_counts(lexicon.words(load(spark, sf_dir, "benchmark"), "item_id", "text").select("word").distinct())
     return counts.where("k = 2").groupBy("ctx").agg(F.count("*").alias("types"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, ['translit', 'todo', 'image', 'fix', 'other'][(doc_id % 5 + 1)::INT] AS target FROM documents),
+    e AS (SELECT *, CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) > 10000 THEN 'too_long' WHEN target = 'fix' THEN 'not_cyrillic' WHEN target = 'other' THEN 'unknown_target' END AS error FROM t)
+    SELECT doc_id, target, 'translit' AS script, error, CASE WHEN error IS NULL THEN md5(text) END AS digest FROM e"""
+)
+def convert_requests(spark, sf_dir):
+    targets = F.array(*map(F.lit, (*M.MODES, "other")))
+    requests = load(spark, sf_dir, "documents").select("doc_id", "text", F.get(targets, (F.col("doc_id") % 5).cast("int")).alias("target"))
+    dictionary = lexicon.words(load(spark, sf_dir, "benchmark"), "item_id", "text").select("word", F.col("word").alias("translit")).distinct()
+    done = convert.convert(requests, "doc_id", dictionary)
+    return done.select("doc_id", "target", "script", "error", F.md5(F.col("translit").cast("binary")).alias("digest"))
+
+
+@query()
+def convert_cyrillic(spark, sf_dir):
+    """Conversations put into Cyrillic letters, transliterated by a dictionary from the benchmark; golden texts are in the tests."""
+    cyrillic = lambda c: F.translate(F.lower(c), "abvgdeziklmnoprstufxyhjcwq", "абвгдезиклмнопрстуфхыһйцүә")
+    words = lexicon.words(load(spark, sf_dir, "benchmark"), "item_id", "text").select(cyrillic("word").alias("word"), F.col("word").alias("translit"))
+    dictionary = words.groupBy("word").agg(F.min("translit").alias("translit"))
+    texts = load(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), cyrillic("text").alias("text"))
+    done = convert.transliterate(texts, "id", "text", dictionary)
+    return done.select("id", F.md5(F.col("translit").cast("binary")).alias("digest"), "n_dict", "n_split", "n_model")
