@@ -1,19 +1,23 @@
 """License scan by conditional compression.
 
-A candidate block is a sentence of a line that holds a cue word. It is compressed alone and with each template
-as zstandard raw dictionary; the templates are ranked by the share of the size that the dictionary saves. The
+A candidate block is a sentence with a cue word, of a line or of a paragraph: neighbouring lines, without their
+comment marks, up to a line that holds no word. So a notice may be wrapped or stand on a line without a full stop
+among others. A block is compressed alone and with each template as zstandard raw dictionary; the templates are ranked by the share of the size that the dictionary saves. The
 first ``RANKED`` are then compared word by word, and the one with the fewest differences is confirmed if these
 are at most ``MOST_DIFFERENT`` of the template's words; the exact differences are reported. Templates that share
 their wording (versions of one license) so part on the words that differ.
 
-A native filter passes on only texts with a cue. Null and empty texts have no block. Blocks of over
-``BLOCK_BYTES`` are cut into overlapping pieces, so a notice inside an endless line is still met whole.
+A native filter passes on only texts with a cue. Null and empty texts have no block. Longer blocks are also read
+in overlapping windows of the ``WINDOWS`` sizes, for long and short templates, so a notice inside an endless line
+is still met whole. Where matches overlap, the one with the smallest share of differing words stays, then that with
+the most words, then a whole sentence, then the shortest block.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import zstandard as zstd
@@ -24,6 +28,9 @@ from sarnai.llm.common import map_columns
 
 # Short notices of common public licenses.
 TEMPLATES = {
+    "AGPL-3.0": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    ],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
     "Apache-2.0-header": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
     "BSD-3-Clause": [
@@ -34,42 +41,111 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC0-1.0": ["Released into the public domain under CC0 1.0."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    ],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation.",
+    ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    ],
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     ],
+    "MPL-1.1": [
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.",
+    ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
-CUE = r"(?i)licen[sc]e|permission (?:is|to)|redistribution and use|public domain|\bCC0?[ -]?(?:BY|1\.0)"
-RANKED, MOST_DIFFERENT, LEAST_SAVED = 4, 0.25, 0.1
-BLOCK_BYTES, OVERLAP = 600, 300
+# Words of a cue may be parted by a line end and comment marks.
+_GAP = r"\W+(?:(?:dnl|rem)\s+)?"
+CUE = rf"(?i)licen[sc]e|permission{_GAP}(?:is|to)|redistribution{_GAP}and{_GAP}use|public{_GAP}domain|\bCC0?[ -]?(?:BY|1\.0)"
+# RANKED: above the seven headers of the GNU licenses, which share nearly all of their words.
+RANKED, MOST_DIFFERENT, LEAST_SAVED = 8, 0.25, 0.1
+BLOCK_BYTES = 600
+WINDOWS = (600, 200)  # each step is half a window; the longest template has under 300 characters
 COLUMNS = "doc_id long, start long, length long, license string, template long, saved double, n_different long, exact boolean, differences string"
-_SENTENCE = re.compile(r"[^\n]*?(?:[.:!?](?=\s)|(?=\n)|\Z)")
+# Neither 'v. 2.0' nor the colon of the GPL-3.0 header ends a sentence.
+_SENTENCE = re.compile(r"[^\n]*?(?:(?:(?<!\b[vV])\.|(?<!free software):|[!?])(?=\s)|(?=\n)|\Z)")
 _WORD = re.compile(r"\w+(?:[.\-/]\w+)*")
+_CUE = re.compile(CUE)
+_MARK = re.compile(r"(?i)\s*(?:(?:[*#/;%!|>+~='\"-]+|<!--|\(\*|\.\\\"|(?:dnl|rem|@c)(?=\s))\s*)*")
+_END = re.compile(r"(?:\s|[*#/|]|-->)*\Z")
+
+
+def _lines(text: str, begin: int, end: int) -> list[tuple[int, str]]:
+    """(start, text) of the lines of text[begin:end] without comment marks."""
+    out = []
+    for line in text[begin:end].split("\n"):
+        skip = _MARK.match(line).end()
+        out.append((begin + skip, line[skip : max(skip, _END.search(line).start())]))
+        begin += len(line) + 1
+    return out
 
 
-def candidate_blocks(text: str) -> list[tuple[int, str]]:
-    """(start, text) of sentences with a cue."""
-    cue, out, done = re.compile(CUE), [], 0
-    for m in cue.finditer(text):
+def _paragraph(text: str, begin: int, end: int) -> tuple[int, int]:
+    """The range of whole lines around text[begin:end], up to lines that hold no word."""
+    begin = text.rfind("\n", 0, begin) + 1
+    while begin and _WORD.search(text, above := text.rfind("\n", 0, begin - 1) + 1, begin):
+        begin = above
+    end = text.find("\n", end)
+    while end >= 0:
+        below = text.find("\n", end + 1)
+        if not _WORD.search(text, end, len(text) if below < 0 else below):
+            break
+        end = below
+    return begin, len(text) if end < 0 else end
+
+
+def _sentences(text: str, begin: int, end: int) -> list[tuple[int, str, bool]]:
+    """(start, text, whether a window) of sentences with a cue, and of the windows with a cue of long ones."""
+    out = []
+    for s in _SENTENCE.finditer(text, begin, end):
+        block = s[0].strip()
+        if not block or not _CUE.search(block):
+            continue
+        at = s.start() + len(s[0]) - len(s[0].lstrip())
+        if len(block) <= BLOCK_BYTES:
+            out.append((at, block, False))
+        for size in WINDOWS:
+            if len(block) > size:
+                pieces = ((i, block[i : i + size]) for i in range(0, len(block) - size // 2, size // 2))
+                out += [(at + i, piece, True) for i, piece in pieces if _CUE.search(piece)]
+    return out
+
+
+def candidate_blocks(text: str) -> list[tuple[int, str, bool, list[tuple[int, int]]]]:
+    """(start, text, whether a window, [(place in the block, place in the text) of each line]) of the blocks with a cue."""
+    out, done = [], 0
+    for m in _CUE.finditer(text):
         if m.start() < done:
             continue
-        begin = text.rfind("\n", 0, m.start()) + 1
-        end = text.find("\n", m.end())
-        end = len(text) if end < 0 else end
-        for s in _SENTENCE.finditer(text, begin, end):
-            if not s[0].strip() or not cue.search(s[0]):
-                continue
-            pad = len(s[0]) - len(s[0].lstrip())
-            block, at = s[0].strip(), s.start() + pad
-            if len(block) <= BLOCK_BYTES:
-                out.append((at, block))
-            else:
-                out += [(at + i, block[i : i + BLOCK_BYTES]) for i in range(0, len(block) - OVERLAP, OVERLAP) if cue.search(block[i : i + BLOCK_BYTES])]
+        begin, end = _paragraph(text, m.start(), m.end())
+        out += [(at, block, window, [(0, at)]) for at, block, window in _sentences(text, begin, end)]
+        lines, at = _lines(text, begin, end), 0
+        if len(lines) > 1:
+            parts, begins = [line if re.search(r"\w-\Z", line) else line + " " for _, line in lines], []  # a word wrapped at its hyphen
+            for part in parts:
+                begins.append(at)
+                at += len(part)
+            joined = "".join(parts).rstrip()
+            for at, block, window in _sentences(joined, 0, len(joined)):
+                first, last = bisect_right(begins, at) - 1, bisect_right(begins, at + len(block) - 1) - 1
+                if first < last:  # else it is a sentence of one line
+                    places = [(max(0, b - at), o + max(0, at - b)) for b, (o, _) in zip(begins[first : last + 1], lines[first : last + 1], strict=True)]
+                    out.append((places[0][1], block, window, places))
         done = end
     return out
 
@@ -87,8 +163,9 @@ def _compressors() -> tuple:
     return zstd.ZstdCompressor(compression_params=params), made
 
 
-def differences(words: list[str], template: list[str]) -> tuple[int, str]:
-    """Words that differ, and how: -template +text. Text before and after the template's wording is not one."""
+def differences(words: list[str], template: list[str]) -> tuple[int, str, int, int]:
+    """Words that differ, and how: -template +text; the range of words from the first equal one to the last.
+    Text before and after the template's wording is no difference."""
     ops = difflib.SequenceMatcher(None, template, words, autojunk=False).get_opcodes()
     n, out = 0, []
     for k, (op, a, b, c, d) in enumerate(ops):
@@ -96,24 +173,56 @@ def differences(words: list[str], template: list[str]) -> tuple[int, str]:
             continue
         n += max(b - a, d - c) if 0 < k < len(ops) - 1 else max(b - a, min(d - c, b - a))
         out.append(" ".join([*(f"-{w}" for w in template[a:b]), *(f"+{w}" for w in words[c:d])]))
-    return n, "; ".join(out)
+    equal = [(c, d) for op, _, _, c, d in ops if op == "equal"] or [(0, len(words))]
+    return n, "; ".join(out), equal[0][0], equal[-1][1]
 
 
 def identify(block: str) -> tuple | None:
-    """(license, template, share saved, words that differ, exact, differences) of the confirmed winner."""
+    """(license, template, share saved, words that differ, exact, differences, words of the template, begin and
+    end of the match) of the confirmed winner."""
     plain, templates = _compressors()
     raw = block.lower().encode()
     alone = len(plain.compress(raw))
     ranked = sorted(((1 - len(c.compress(raw)) / alone, name, i, words) for name, i, words, c in templates), key=lambda r: (-r[0], r[1], r[2]))[:RANKED]
-    words, found = _WORD.findall(block.lower()), None
+    met = list(_WORD.finditer(block))
+    words, found = [m[0].lower() for m in met], None
     for saved, name, i, template in ranked:
         if saved < LEAST_SAVED:
             break
-        n, how = differences(words, template)
+        n, how, first, last = differences(words, template)
         if n <= MOST_DIFFERENT * len(template):
-            row = (n, -saved, name, i, how)
+            row = (n, -saved, name, i, how, len(template), first, last)
             found = row if found is None or row < found else found
-    return None if found is None else (found[2], found[3], -found[1], found[0], found[0] == 0, found[4])
+    if found is None:
+        return None
+    n, saved, name, i, how, size, first, last = found
+    return name, i, -saved, n, n == 0, how, size, met[first].start(), met[last - 1].end()
+
+
+def _place(places: list[tuple[int, int]], at: int) -> int:
+    """Place in the text of a character of a block."""
+    here, there = places[bisect_right(places, at, key=lambda p: p[0]) - 1]
+    return there + at - here
+
+
+def notices(text: str, known: dict) -> list[tuple]:
+    """(start, length, license, template, saved, n_different, exact, differences) of the notices of a text."""
+    found = {}
+    for at, block, window, places in candidate_blocks(text):
+        if block not in known:
+            known[block] = identify(block)
+        if known[block]:
+            *row, size, begin, end = known[block]
+            length = _place(places, len(block) - 1) + 1 - at
+            found[at, length] = (row[3] / size, row[3] - size, window, length, at), (_place(places, begin), _place(places, end - 1)), row
+    kept, taken = [], []
+    for (_, _, _, length, at), (begin, end), row in sorted(found.values(), key=lambda f: f[0]):
+        k = bisect_right(taken, (begin, end))
+        if (k and taken[k - 1][1] >= begin) or (k < len(taken) and taken[k][0] <= end):
+            continue
+        taken.insert(k, (begin, end))
+        kept.append((at, length, *row))
+    return sorted(kept)
 
 
 def scan_licenses(documents: DataFrame) -> DataFrame:
@@ -125,12 +234,7 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
         def step(ids, texts):
             rows, known = [], {}
             for doc, text in zip(ids.to_pylist(), texts.to_pylist(), strict=True):
-                for at, block in candidate_blocks(text):
-                    if block not in known:
-                        known[block] = identify(block)
-                    if known[block]:
-                        name, i, saved, n, exact, how = known[block]
-                        rows.append((doc, at, len(block), name, i, saved, n, exact, how))
+                rows += [(doc, *row) for row in notices(text, known)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             return {name: list(c) for name, c in zip(names, columns, strict=True)}
 

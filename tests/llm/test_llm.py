@@ -3,6 +3,7 @@
 import hashlib
 import random
 import sys
+import textwrap
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -319,6 +320,28 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+@pytest.mark.parametrize("mark", [None, "", "# ", " * ", "// ", "dnl "])
+def test_license_templates_wrapped(mark):
+    for name, texts in licenses.TEMPLATES.items():
+        for i, template in enumerate(texts):
+            lines = [template] if mark is None else textwrap.wrap(template, 75 - len(mark))
+            body = "\n".join((mark or "") + line for line in ["Copyright 2020 Some One", *lines, "and more words of the file follow"])
+            got = licenses.notices(f"/*\n{body}\n*/\nint main", {})
+            assert [(r[2], r[6]) for r in got] == [(name, True)], (template, got)
+
+
+def test_license_headers_as_they_stand():
+    mit = "MIT License\n\nCopyright (c) 2020 Some One\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software"
+    (row,) = licenses.notices(mit, {})
+    assert (row[2], row[6], row[0]) == ("MIT", True, mit.index("Permission")) and mit[row[0] : row[0] + row[1]] == mit[row[0] :]
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n"
+    assert [(r[2], r[6]) for r in licenses.notices(gpl, {})] == [("GPL-3.0", True)]
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. {}. If a copy was not given, ask."
+    assert [[(r[2], r[6]) for r in licenses.notices(mpl.format(v), {})] for v in ("2.0", "1.1")] == [[("MPL-2.0", True)], [("MPL-1.1", True)]]
+    both = "Licensed under the Apache License, Version 2.0\nReleased under the MIT License\n"
+    assert [(r[2], r[6]) for r in licenses.notices(both, {})] == [("Apache-2.0", True), ("MIT", True)]
+
+
 def test_pipeline_by_brute_force(spark):
     import corpus_pipeline as p
 
