@@ -4,6 +4,7 @@ import hashlib
 import random
 import sys
 import textwrap
+import unicodedata
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -80,6 +81,47 @@ def test_quality_keeps_labelled_good(spark, small):
     assert rows[0] > 0.95
 
 
+# From the first article of the Universal Declaration of Human Rights, written from memory.
+CLEAN = {
+    "vi": "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền. Mọi con người đều được tạo hóa ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình bằng hữu.",
+    "yo": "Gbogbo ènìyàn ni a bí ní òmìnira; iyì àti ẹ̀tọ́ kọ̀ọ̀kan sì dọ́gba. Wọ́n ní ẹ̀bùn ti làákàyè àti ti ẹ̀rí-ọkàn, ó sì yẹ kí wọn ó máa hùwà sí ara wọn gẹ́gẹ́ bí ọmọ ìyá.",
+    "cs": "Všichni lidé rodí se svobodní a sobě rovní co do důstojnosti a práv. Jsou nadáni rozumem a svědomím a mají spolu jednat v duchu bratrství.",
+    "sk": "Všetci ľudia sa rodia slobodní a sebe rovní, čo sa týka ich dôstojnosti a práv. Sú obdarení rozumom a majú navzájom jednať v bratskom duchu.",
+    "ro": "Toate ființele umane se nasc libere și egale în demnitate și în drepturi. Ele înzestrate cu rațiune și conștiință și trebuie să se comporte unele față de altele în spiritul fraternității.",
+    "az": "Bütün insanlar ləyaqət və hüquqlarına görə azad və bərabər doğulurlar. Onların şüurları və vicdanları var və bir-birlərinə münasibətdə qardaşlıq ruhunda davranmalıdırlar.",
+    "ee": "Wodzi amegbetɔwo katã ablɔɖeviwoe eye wodzena bubu kple gomekpɔkpɔ sɔsɔe. Susu kple dzitsinya le wo dometɔ ɖe sia ɖe si eyata wodze be woanɔ anyi le ɖekawɔwɔ blibo me.",
+    "nv": "Bila'ashda'ii t'áá ałtsoh yiník'ehgo bidizhchįh dóó aheełt'éego ílį́į́go bee baahóchįʼ. Eíí hanítshakees hwiihdaasyaʼ dóó hánítshakees ádaat'éego ałkʼéí daniidlį́įgo ałhaa áháyą́ą dooleeł.",
+    "sw": "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri, hivyo yapasa watendeane kindugu.",
+    "zu": "Bonke abantu bazalwa bekhululekile belingana ngesithunzi nangamalungelo. Bahlanganiswe wumcabango nangunembeza futhi bafanele baphathane ngomoya wobunye.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "hu": "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván, egymással szemben testvéri szellemben kell hogy viseltessenek.",
+    "mn": "Хүн бүр төрж мэндлэхэд эрх чөлөөтэй, адилхан нэр төртэй, ижил эрхтэй байдаг. Оюун ухаан, нандин чанар заяасан хүн гэгч өөр хоорондоо ахан дүүгийн үзэл санаагаар харьцах учиртай.",
+    "xal": "Күн әмтн төрхлә, тана мөн чинртә, эдл-уушар күцц, мөн эркәрн тедү болн хөөннь. Эдн ухан болн нүл-килнцәс зөвтә, тер учрар эдн негн-негәнләрн ахнр-дүүнр кевтә бәәх зөвтә.",
+    "kk": "Барлық адамдар тумысынан азат және қадір-қасиеті мен кұқықтары тең болып дүниеге келеді. Адамдарға ақыл-парасат, ар-ождан берілген, сондықтан олар бір-бірімен туыстық, бауырмалдық қарым-қатынас жасаулары тиіс.",
+    "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης.",
+    "grc": "Ἅπαντες οἱ ἄνθρωποι ἐλεύθεροι καὶ ἴσοι ἀξίᾳ καὶ δικαιώμασι πεφύκασιν. λόγον δ᾽ ἔχοντες καὶ συνείδησιν ἀλλήλοις ὀφείλουσιν ἀδελφικῶς προσφέρεσθαι καὶ χρῆσθαι τῷ βίῳ.",
+    "hy": "Բոլոր մարդիկ ծնվում են ազատ ու հավասար իրենց արժանապատվությամբ ու իրավունքներով։ Նրանք ունեն բանականություն ու խիղճ և միմյանց պետք է եղբայրաբար վերաբերվեն։",
+    "ka": "ყველა ადამიანი იბადება თავისუფალი და თანასწორი თავისი ღირსებითა და უფლებებით. მათ მინიჭებული აქვთ გონება და სინდისი და ერთმანეთის მიმართ უნდა იქცეოდნენ ძმობის სულისკვეთებით.",
+    "am": "የሰው ልጅ ሁሉ ሲወለድ ነጻና በክብርና በመብትም እኩልነት ያለው ነው። የተፈጥሮ ማስተዋልና ሕሊና ስላለው አንዱ ሌላውን በወንድማማችነት መንፈስ መመልከት ይገባዋል።",
+    "hi": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए।",
+    "ar": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء.",
+    "km": "មនុស្សទាំងអស់កើតមកមានសេរីភាព និងសមភាព ក្នុងផ្នែកសេចក្តីថ្លៃថ្នូរ និងសិទ្ធិ។",
+}
+
+
+@pytest.mark.parametrize("form", ["NFC", "NFD"])
+def test_quality_keeps_clean_text_of_many_languages(form):
+    rules = quality.Rules()
+    for lang, text in CLEAN.items():
+        clean = unicodedata.normalize(form, text)
+        assert rules.verdict(clean, *rules.measures(clean, 0)), lang
+    for lang in ("vi", "yo", "cs", "mn"):
+        assert rules.kept(unicodedata.normalize(form, CLEAN[lang]).encode()), lang
+    junk = " ".join("".join(random.Random(i).choice("qxzjkvw#$%&0189") for _ in range(9)) for i in range(40))
+    assert not rules.kept(junk.encode()) and not rules.kept((junk + " é").encode())
+
+
 @given(st.text(alphabet=st.sampled_from(list("ab é\n\t 's1!日\x1c　\xa0")), max_size=30))
 @settings(max_examples=300, deadline=None)
 def test_ids_are_those_of_the_public_tokenizer(text):
