@@ -30,7 +30,8 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)(?:>|\Z)", re.S
 )
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN_TEXT = frozenset(["script", "style", "title", "noscript", "template", "textarea", "iframe", "svg", "head"])
+HIDDEN_TEXT = frozenset(["script", "style", "title", "noscript", "template", "textarea", "iframe", "svg", "noframes", "head"])
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())  # other tags end it
 RAW_END = {t: re.compile(rf"</{t}\b", re.I) for t in HIDDEN_TEXT - {"head"}}
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -67,6 +68,9 @@ def leaf_blocks(page: str) -> list[Block]:
             pieces.clear()
 
     def add(text: str) -> None:
+        nonlocal hidden
+        if hidden and text.strip():  # no text can stand in the head itself
+            hidden = 0
         if text and not hidden:
             pieces.append((text, link))
 
@@ -78,7 +82,7 @@ def leaf_blocks(page: str) -> list[Block]:
         tag, closing = m[2].lower(), bool(m[1])
         if tag == "head":
             hidden = 0 if closing else 1
-        elif tag == "body":
+        elif tag not in IN_HEAD and (not closing or tag == "body"):
             hidden = 0
         if tag in RAW_END:
             if not closing and not m[3].endswith("/"):

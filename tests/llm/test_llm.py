@@ -347,6 +347,14 @@ def test_html_layouts():
     assert html_extract.main_text(model, "") == ""
 
 
+@pytest.mark.parametrize("end", ["</head><body>", "</head>", "<body>", ""])
+def test_html_head_may_be_left_open(end):
+    head = "<!DOCTYPE html><html><head><meta charset=utf-8><title>Name</title><noscript>None</noscript><script>var a = 1;</script>\n<link rel=x>\n"
+    model = html_extract.default_model()
+    assert html_extract.main_text(model, f"{head}{end}<article><h1>Title of it</h1><p>Hello there, reader.</p></article>") == "Title of it\nHello there, reader."
+    assert [b.text for b in html_extract.leaf_blocks(f"{head}{end}Bare <b>text</b> of a page<p>More")] == ["Bare text of a page", "More"]
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "u", "<article><p>Hello there, reader.</p></article>"), (2, "u", "<article><p>Hello there, reader.</p></article>")], "page_id long, url string, html string")
     rows = sorted(((r["page_id"], r["text"], r["n_chars"]) for r in html_extract.extract_main_text(pages).collect()))
