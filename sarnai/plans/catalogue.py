@@ -252,9 +252,13 @@ def witten_bell(spark, sf_dir):
 
 @query()
 def letters_candidates(spark, sf_dir):
+    """Candidates of every distinct word of conversations, put into Cyrillic letters as in letter_repair, from the benchmark's words."""
     ship(spark)
-    vocabulary = spark.createDataFrame([("бәәдл", 50), ("бәәнт", 9), ("һалун", 20), ("күн", 90), ("көвүн", 70), ("дуһарна", 3)], "word string, n long")
-    written = spark.createDataFrame([("бяядл",), ("галун",), ("кюн",), ("ковун",), ("дугарна",), ("бяянт",)], "word string")
+    cyrillic = lambda c: F.translate(F.lower(c), "abvgdeziklmnoprstufxyhjcwq", "абвгдезиклмнопрстуфхыһйцүә")
+    vocabulary = lexicon.words(load(spark, sf_dir, "benchmark"), "item_id", "text").select(cyrillic("word").alias("word"))
+    vocabulary = vocabulary.where(F.col("word").rlike("^[а-яһүә]+$")).groupBy("word").agg(F.count("*").alias("n"))
+    texts = load(spark, sf_dir, "conversations").select(F.translate(cyrillic("text"), "һүә", "гуа").alias("text"))
+    written = texts.select(F.explode(F.regexp_extract_all("text", F.lit("[а-я]+"), F.lit(0))).alias("word")).distinct()
     return lexicon.candidates(written, vocabulary).select("word", "candidate", F.round("score", 4).alias("score"), "rank")
 
 

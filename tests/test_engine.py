@@ -78,6 +78,20 @@ def test_candidates_prefer_frequent(spark):
     assert [r.candidate for r in rows] == ["бәәнт"]
 
 
+def test_candidates_of_six_words(spark):
+    vocabulary = spark.createDataFrame([("бәәдл", 50), ("бәәнт", 9), ("һалун", 20), ("күн", 90), ("көвүн", 70), ("дуһарна", 3)], "word string, n long")
+    written = spark.createDataFrame([("бяядл",), ("галун",), ("кюн",), ("ковун",), ("дугарна",), ("бяянт",)], "word string")
+    best = {r["word"]: r["candidate"] for r in lexicon.candidates(written, vocabulary).where("rank = 1").collect()}
+    assert best == {"бяядл": "бәәдл", "галун": "һалун", "кюн": "күн", "ковун": "көвүн", "дугарна": "дуһарна", "бяянт": "бәәнт"}
+
+
+def test_letters_candidates_reads_the_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "qlwn xalun"), (2, "qlwn")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, "user", "Xalun, qlwn."), (1, 1, "user", None)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = catalogue.QUERIES["letters_candidates"](spark, str(tmp_path)).where("rank = 1").collect()
+    assert {(r["word"], r["candidate"]) for r in rows} == {("халун", "халун"), ("алун", "әлүн")}
+
+
 def test_event_log_and_word_list(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"event":"request","id":1,"ok":1}\n\n{"event":"feedback","request_id":1,"rating":"up"}\n{"event":"other"}\n{bad\n[1]\n')
     rows = readers.read_event_log(spark, str(tmp_path / "log.jsonl")).collect()
