@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import base64
 import json
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +16,13 @@ import tiktoken
 BYTE_BPE, BYTE_BPE_JSON, PIECE_BPE = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
+# White space as the vocabulary's pattern has it. Its rule for white space looks ahead, so its regular expression steps back
+# through a run blank by blank and gives up on very long ones; runs of LONG_RUN or more are therefore cut out before it.
+BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_RUN = 4096
+_LONG = re.compile(f"{BLANK}{{{LONG_RUN},}}")
+
+
 class ByteLevel:
     """ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them for byte_bpe_50k.json.
 
@@ -32,11 +41,34 @@ class ByteLevel:
             "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=control
         )
 
+        self.control = re.compile("|".join(f"({re.escape(c)})" for c in control)) if control else None
+
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.encoding.encode(text, allowed_special="all"), dtype=np.uint32)
+        if not _LONG.search(text):
+            return np.array(self.encoding.encode(text, allowed_special="all"), dtype=np.uint32)
+        out, at = [], 0
+        for m in self.control.finditer(text) if self.control else ():  # a control string ends the text before it
+            out += [self.ordinary_ids(text[at : m.start()]), np.array([self.encoding.encode_single_token(m[0])], np.uint32)]
+            at = m.end()
+        return np.concatenate([*out, self.ordinary_ids(text[at:])])
 
     def ordinary_ids(self, text: str) -> np.ndarray:
-        return np.array(self.encoding.encode_ordinary(text), dtype=np.uint32)
+        parts = [self.encoding._core_bpe.encode_single_piece(p.encode()) if whole else self.encoding.encode_ordinary(p) for p, whole in _cut(text)]
+        return np.array(parts[0], np.uint32) if len(parts) == 1 else np.concatenate([np.array(p, np.uint32) for p in parts])
+
+
+def _cut(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in order, long runs of white space apart (true: one piece of the vocabulary's pattern). The last
+    blank of a run goes with the text after it, if there is any, as the pattern has it."""
+    at = 0
+    for m in _LONG.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        if at < m.start():
+            yield text[at : m.start()], False  # ends with other than white space
+        yield text[m.start() : end], True
+        at = end
+    if at < len(text) or not text:
+        yield text[at:], False
 
 
 class Pieces:
