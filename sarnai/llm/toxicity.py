@@ -1,22 +1,26 @@
 """Toxicity by compression distance.
 
-Two zstandard raw dictionaries are trained from labelled rows. The ordinary one is COVER-trained on
-windows of ordinary text. The toxic one holds the segments that toxic text has and ordinary text
-lacks, after the same ordinary content; the ordinary one has a filler of that length there, so that all
-distances agree and a window without such a segment costs the same under both. A window is one lower-cased word with the blank before it, tiled ``TILES`` times: a lone word
-would be stored raw, and its length would say nothing. The margin of a window is its compressed length
-under the ordinary dictionary less that under the toxic one; a window is a hit when the margin reaches
-a threshold calibrated on the training rows. The document score is a logistic function of the number
-and the share of hits, calibrated on the same rows.
-
-Every word of every text is a window. Null and empty texts have no window and get the score of no hits.
-Only the bounded sample (``MOST_TOXIC`` and ``MOST_ORDINARY`` labelled rows, lowest hash first) is
-brought to the driver.
+Two dictionaries are trained by zstandard (COVER) from labelled rows: the ordinary one on windows of ordinary rows, the toxic one
+on stretches of toxic rows. A window is ``WINDOW`` neighbouring words, one every ``STEP`` words, so every word of every text is in one. Its
+margin is its compressed length under the ordinary dictionary less that under the ordinary dictionary followed by the toxic one; a filler keeps all
+distances equal, so a window that the toxic dictionary does not help costs the same under both. The shares and numbers of windows whose margin reaches each
+of the ``THRESHOLDS`` are weighed by a logistic function fitted to the training rows: its value is the score.
+
+Toxic rows are ordinary but for a few words. The stretches the toxic dictionary learns from are therefore those words, cut to the
+beginnings, and those pairs of words, that toxic rows use far more often than ordinary rows do (a Poisson z of ``LEAST_Z`` and a ratio of ``LIFT``);
+passages met before, as in copies, do not count. The ordinary dictionary learns from ordinary windows without such words, and then, ``ROUNDS`` times,
+from those that the toxic one still helps. Text is lower-cased and the first ``START`` letters of a word are written in capitals, so that the beginning of a word
+never matches the inside of one; a word longer than ``PIECE`` characters is read as several.
+
+Null and empty texts have no window: score of no hits. With no toxic or no ordinary row to learn from nothing is a hit. Repeated rows score alike;
+a repeated id is learnt from by its least text. Only a bounded sample (``MOST_TOXIC`` and ``MOST_ORDINARY`` labelled rows, lowest hash first, ``MOST_BYTES``
+in all) is brought to the driver; a row that no longer fits is passed over.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,169 +28,204 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sarnai.llm.common import Memo, as_bytes, blocks, held_out, keep_rows, map_columns
+from sarnai.llm.common import as_bytes, blocks, held_out, keep_rows, map_columns
 
-MOST_TOXIC, MOST_ORDINARY = 600, 1500  # labelled rows to learn from, at most
-TILES = 4
-ORDINARY_BYTES, TOXIC_BYTES = 12_288, 8_192
-GRAMS = (4, 5, 6)
-PRIOR = 2.0  # ordinary rows added to each count
-SUPPORT, SHARE, LIFT = 3, 0.012, 12.0  # toxic rows a segment must occur in, their share; its rate against ordinary rows
+MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 600, 2000, 24_000_000  # labelled rows to learn from, at most, and their bytes
+WINDOW, STEP = 8, 7  # words; neighbours share one, so every pair of words is in a window
+START, PIECE = 8, 64
+ORDINARY_BYTES, TOXIC_BYTES, NEGATIVE_BYTES, ROUNDS = 32_768, 2_048, 8_192, 2
+SEGMENT, TOXIC_SEGMENT, DMER = 24, 64, 6  # COVER's k and d
+LEAST_STEM, SUPPORT, LIFT, LEAST_Z, MOST_IN_ROW = 3, 3, 5.0, 6.0, 4
+THRESHOLDS = (1, 2, 3, 4, 5, 6)
+RIDGE = 0.1
 BLOCK = 4_000_000
-FILLER = b"\x00"  # in no text: cannot match
-TAIL = 16  # the last few bytes of a dictionary are never indexed
+FILLER, TAIL = b"\x00", 16  # in no text: cannot match; the last few bytes of a dictionary are never indexed
+REPEATS = (1).to_bytes(4, "little") + (4).to_bytes(4, "little") + (8).to_bytes(4, "little")  # end of a trained dictionary's tables
 
 
 @dataclass(frozen=True)
 class Model:
     ordinary: bytes
     toxic: bytes
-    threshold: int
-    weights: tuple[float, float, float]  # intercept, log1p(hits), share of hits
-
-
-def _words(text: bytes) -> list[bytes]:
-    return text.decode("utf-8", "replace").lower().encode().split()
-
-
-def _grams(word: bytes) -> set[bytes]:
-    w = b" " + word
-    return {w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)}
-
-
-def _fresh(docs: list[list[bytes]]) -> list[Counter]:
-    """Words of each document but for passages that an earlier one holds, so that copies count once."""
-    seen: set = set()
-    out = []
-    for ws in docs:
-        around = list(zip([b"", *ws], ws, [*ws[1:], b""], strict=False))
-        out.append(Counter(a[1] for a in around if a not in seen))
-        seen.update(around)
-    return out
-
-
-def _toxic_segments(toxic: list[Counter], ordinary: list[Counter]) -> bytes:
-    """Contrast training: stretches of words covered by grams far more common in toxic rows."""
-
-    def spread(docs: list[Counter]) -> Counter:
-        found: Counter = Counter()
-        for words in docs:
-            found.update(set().union(*map(_grams, words)) if words else ())
-        return found
-
-    t, o = spread(toxic), spread(ordinary)
-    nt, no = len(toxic), max(1, len(ordinary))
-    strong = {g for g, n in t.items() if n >= max(SUPPORT, SHARE * nt) and (n / nt) >= LIFT * ((o[g] + PRIOR) / no)}
-    segments: Counter = Counter()
-    for words in toxic:
-        for word in words:
-            w = b" " + word
-            covered = [False] * len(w)
-            for n in GRAMS:
-                for i in range(len(w) - n + 1):
-                    if w[i : i + n] in strong:
-                        covered[i : i + n] = [True] * n
-            begin = None
-            for i, c in enumerate([*covered, False]):
-                if c and begin is None:
-                    begin = i
-                elif not c and begin is not None:
-                    segments[w[begin:i]] += 1
-                    begin = None
-    ranked, content = sorted(segments, key=lambda s: (-segments[s], s)), b""
-    for s in ranked:
-        if len(content) + TILES * len(s) > TOXIC_BYTES:
-            break
-        if s not in content:
-            content += s * TILES
-    return content
-
-
-def _compressor(content: bytes) -> zstd.ZstdCompressor:
+    weights: tuple[float, ...]
+
+
+def marked_words(text: str) -> list[str]:
+    words = text.lower().split()
+    if words and max(map(len, words)) > PIECE:
+        words = [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+    return [w[:START].upper() + w[START:] for w in words]
+
+
+def windows(texts: list[list[str]], size: int = WINDOW, step: int = STEP) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All texts in one buffer, (offset, length) of each window with the blanks around it, and the text it is of."""
+    data, spans, of, at = [], [], [], 0
+    for i, ws in enumerate(texts):
+        if not ws:
+            continue
+        body = (" " + " ".join(ws) + " ").encode()
+        blanks = np.flatnonzero(np.frombuffer(body, np.uint8) == 32)
+        n = len(blanks) - 1
+        first = np.arange(0, max(1, n - size + step), step)
+        first = first[first < n]
+        begin, end = blanks[first], blanks[np.minimum(first + size, n)] + 1
+        spans.append(np.stack([begin + at, end - begin], 1))
+        of.append(np.full(len(first), i))
+        data.append(body)
+        at += len(body)
+    if not spans:
+        return b"", np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
+    return b"".join(data), np.concatenate(spans).astype(np.uint64), np.concatenate(of)
+
+
+def compressor(content: bytes) -> zstd.ZstdCompressor:
     params = zstd.ZstdCompressionParameters(
-        strategy=zstd.STRATEGY_LAZY2, min_match=4, search_log=5, window_log=15, hash_log=12, chain_log=13,
+        strategy=zstd.STRATEGY_BTLAZY2, min_match=5, search_log=4, window_log=17, hash_log=14, chain_log=15,
         format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0,
     )
     used = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+    used.precompute_compress(compression_params=params)
     return zstd.ZstdCompressor(dict_data=used, compression_params=params)
 
 
-def _lengths(c: zstd.ZstdCompressor, windows: list[bytes]) -> np.ndarray:
-    out = []
-    for i in range(0, len(windows), 20_000):
-        made = c.multi_compress_to_buffer(windows[i : i + 20_000], threads=1)
-        out += [len(made[k]) for k in range(len(made))]
-    return np.array(out, np.int32)
+def lengths(c: zstd.ZstdCompressor, buffer: bytes, spans: np.ndarray) -> np.ndarray:
+    out = np.empty(len(spans), np.int32)
+    for i in range(0, len(spans), 20_000):
+        made = c.multi_compress_to_buffer(zstd.BufferWithSegments(buffer, spans[i : i + 20_000].tobytes()), threads=1)
+        out[i : i + len(made)] = [len(made[k]) for k in range(len(made))]
+    return out
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model = model
-        self.ordinary = _compressor(model.ordinary + FILLER * (len(model.toxic) + TAIL))
-        self.toxic = _compressor(model.ordinary + model.toxic + FILLER * TAIL)
-        self.memo = Memo(self.margins)
-
-    def margins(self, words: list[bytes]) -> list[int]:
-        windows = [(b" " + w) * TILES for w in words]
-        return (_lengths(self.ordinary, windows) - _lengths(self.toxic, windows)).tolist()
-
-    def counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Windows and hits of each text."""
-        n, hits = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        for part in blocks(texts, [len(t) for t in texts], BLOCK):
-            words = [_words(t) for t in texts[part]]
-            met = set().union(*words)
-            known = self.memo.learn(met)
-            hit = {w for w in met if known[w] >= self.model.threshold}
-            for i, ws in enumerate(words, part.start):
-                n[i] = len(ws)
-                hits[i] = sum(map(hit.__contains__, ws)) if hit else 0
-        return n, hits
+        self.weights = np.array(model.weights)
+        self.ordinary = compressor(model.ordinary + FILLER * (len(model.toxic) + TAIL))
+        self.toxic = compressor(model.ordinary + model.toxic + FILLER * TAIL)
+
+    def margins(self, buffer: bytes, spans: np.ndarray) -> np.ndarray:
+        return lengths(self.ordinary, buffer, spans) - lengths(self.toxic, buffer, spans)
+
+    def features(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features of each text, its windows and those whose margin reaches THRESHOLDS[2]."""
+        buffer, spans, of = windows(texts)
+        margin, n = self.margins(buffer, spans), np.bincount(of, minlength=len(texts))
+        hits = [np.bincount(of, margin >= t, len(texts)) for t in THRESHOLDS]
+        return np.stack([np.ones(len(texts)), *(10 * h / np.maximum(n, 1) for h in hits), *map(np.log1p, hits)], 1), n, hits[2].astype(np.int64)
 
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n, hits = self.counts(texts)
-        return _logistic(self.model.weights, n, hits), n, hits
+        p, n, hits = np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for part in blocks(texts, [len(t) for t in texts], BLOCK):
+            x, n[part], hits[part] = self.features([marked_words(t.decode("utf-8", "replace")) for t in texts[part]])
+            p[part] = _logistic(x @ self.weights)
+        return p, n, hits
 
 
-def _features(n: np.ndarray, hits: np.ndarray) -> np.ndarray:
-    return np.stack([np.ones(len(n)), np.log1p(hits), 100 * hits / np.maximum(n, 1)], 1)
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _logistic(weights: tuple, n: np.ndarray, hits: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(_features(n, hits) @ np.array(weights), -30, 30)))
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """The content of a dictionary that zstandard trains on the samples; of too few, the samples themselves."""
+    try:
+        made = zstd.train_dictionary(size, samples, k=segment, d=DMER).as_bytes()
+    except zstd.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-size:] or b" "
+    return made[made.index(REPEATS) + len(REPEATS) :]
+
+
+def _stems(word: str) -> Iterator[str]:
+    whole = word + " "
+    return (whole[:n] for n in range(LEAST_STEM, min(START, len(whole)) + 1))
+
+
+def _counts(rows: list[list[str]]) -> tuple[Counter, Counter, int]:
+    """Uses of stems and word pairs (at most MOST_IN_ROW in a row), rows they are in, and words; copied passages once."""
+    uses, spread, n, seen = Counter(), Counter(), 0, set()
+    for ws in rows:
+        around = list(zip(["", *ws], ws, [*ws[1:], ""], strict=False))
+        fresh = [a not in seen for a in around]
+        seen.update(around)
+        found: Counter = Counter()
+        for w, k in Counter(w for w, new in zip(ws, fresh, strict=True) if new).items():
+            for s in _stems(w):
+                found[s] += k
+        found.update(Counter(f"{a} {b}" for a, b, new in zip(ws, ws[1:], fresh, strict=False) if new))
+        for unit, k in found.items():
+            uses[unit] += min(k, MOST_IN_ROW)
+        spread.update(found.keys())
+        n += sum(fresh)
+    return uses, spread, n
+
+
+def toxic_samples(toxic: list[list[str]], ordinary: list[list[str]]) -> tuple[list[bytes], dict[str, str | None]]:
+    """Stretches of toxic rows to train on; the stem, if any, that makes a word one of them."""
+    (uses, spread, n), (base, _, m) = _counts(toxic), _counts(ordinary)
+
+    def strong(unit: str) -> bool:
+        expected = (base[unit] + 1) * n / max(1, m)
+        return spread[unit] >= SUPPORT and uses[unit] >= LIFT * expected and uses[unit] - expected >= LEAST_Z * (expected + 0.5) ** 0.5
+
+    over, stem = {u for u in uses if strong(u)}, {}
+    out = []
+    for ws in toxic:
+        for w in ws:
+            if w not in stem:  # the longest beginning that is used half as often as the shortest
+                found = [s for s in _stems(w) if s in over]
+                stem[w] = next((s for s in reversed(found) if 2 * uses[s] >= uses[found[0]]), None)
+        met = [f" {stem[w]}" for w in ws if stem[w]]
+        met += [f" {a} {b}" for a, b in zip(ws, ws[1:], strict=False) if not stem[a] and not stem[b] and f"{a} {b}" in over]
+        if met:
+            out.append("".join([*met, " " * 8]).encode())  # the trainer does not read the last 8 bytes
+    for ws in ordinary:
+        for w in ws:
+            if w not in stem:
+                stem[w] = next((s for s in _stems(w) if s in over), None)
+    return out, stem
+
+
+def _ordinary_runs(words: Iterable[str], stem: dict[str, str | None]) -> Iterator[bytes]:
+    run: list[str] = []
+    for w in [*words, None]:
+        if w is None or stem.get(w):
+            if run:
+                yield f" {' '.join(run)} ".encode()
+            run = []
+        else:
+            run.append(w)
 
 
 def train(rows: list[tuple[bytes, int]]) -> Model:
-    """From (text, label) pairs. With no toxic or no ordinary row nothing is ever a hit."""
-    toxic = [_words(t) for t, y in rows if y == 1]
-    ordinary = [_words(t) for t, y in rows if y == 0]
+    """From (text, label) pairs."""
+    toxic = [ws for t, y in rows if y == 1 and (ws := marked_words(t.decode("utf-8", "replace")))]
+    ordinary = [ws for t, y in rows if y == 0 and (ws := marked_words(t.decode("utf-8", "replace")))]
+    none = Model(b" ", b" ", (-5.0, *[0.0] * (2 * len(THRESHOLDS))))
     if not toxic or not ordinary:
-        return Model(b" ", b" ", 1 << 20, (-5.0, 0.0, 0.0))
-    windows = [b" " + b" ".join(ws[i : i + 8]) for ws in ordinary for i in range(0, len(ws), 8)]
-    try:
-        kept = zstd.train_dictionary(ORDINARY_BYTES, windows[:40_000], k=48, d=6).as_bytes()
-    except zstd.ZstdError:  # too little text
-        kept = b"".join(windows)[:ORDINARY_BYTES] or b" "
-    segments = _toxic_segments(_fresh(toxic), [Counter(ws) for ws in ordinary]) or b" "
-    docs, y = [*toxic, *ordinary], np.array([1] * len(toxic) + [0] * len(ordinary))
-    margins = Scorer(Model(kept, segments, 1, (0.0, 0.0, 0.0))).memo
-    known = margins.learn({w for ws in docs for w in ws})
-    n, best = np.array([len(ws) for ws in docs]), None
-    ends = np.concatenate([[0], np.cumsum(n)])
-    margin = np.fromiter((known[w] for ws in docs for w in ws), np.int32, int(ends[-1]))
-    for threshold in range(1, 9):
-        hits = np.diff(np.concatenate([[0], np.cumsum(margin >= threshold)])[ends])
-        x = _features(n, hits)
-        w = np.zeros(3)
-        for _ in range(60):  # Newton steps, a small ridge
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            g, h = x.T @ (p - y) + 0.01 * w, (x.T * (p * (1 - p))) @ x + 0.01 * np.eye(3)
-            w = w - np.clip(np.linalg.solve(h, g), -2, 2)
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
-        loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
-        if best is None or loss < best[0] - 1e-6:
-            best = (loss, threshold, tuple(float(v) for v in w))
-    return Model(kept, segments, best[1], best[2])
+        return none
+    samples, stem = toxic_samples(toxic, ordinary)
+    if not samples:
+        return none
+    rng = np.random.default_rng(1)
+    buffer, spans, _ = windows(ordinary, WINDOW, WINDOW)
+    cut = [buffer[a : a + n] for a, n in spans.tolist()]
+    plain = [r for i in rng.permutation(len(cut)) for r in _ordinary_runs(cut[i].decode().split(), stem)]
+    content = trained(plain, ORDINARY_BYTES, SEGMENT)
+    learnt = trained([samples[i] for i in rng.permutation(len(samples))], TOXIC_BYTES, TOXIC_SEGMENT)
+    for _ in range(ROUNDS):
+        helped = np.flatnonzero(Scorer(Model(content, learnt, ())).margins(buffer, spans) > 0)
+        more = [r for i in helped for r in _ordinary_runs(cut[i].decode().split(), stem)]
+        if len(more) < 20:
+            break
+        content += trained(more, NEGATIVE_BYTES, SEGMENT)
+    x, _, _ = Scorer(Model(content, learnt, ())).features([*toxic, *ordinary])
+    y = np.array([1] * len(toxic) + [0] * len(ordinary))
+    scale = np.maximum(x.std(0), 1e-9)
+    scale[0] = 1
+    x, w = x / scale, np.zeros(x.shape[1])
+    for _ in range(60):  # Newton steps, a small ridge
+        p = _logistic(x @ w)
+        g, h = x.T @ (p - y) + RIDGE * w, (x.T * (p * (1 - p))) @ x + RIDGE * np.eye(len(w))
+        w = w - np.clip(np.linalg.solve(h, g), -2, 2)
+    return Model(content, learnt, tuple(float(v) for v in w / scale))
 
 
 def training_rows(documents: DataFrame, labels: DataFrame) -> list[tuple[bytes, int]]:
@@ -201,10 +240,21 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> list[tuple[bytes,
     y = {r[0]: r[1] for r in picked.collect()}
     if not y:
         return []
-    ids = F.broadcast(documents.sparkSession.createDataFrame([(i,) for i in y], "doc_id long"))  # at most the two bounds
-    found = documents.select("doc_id", "text").join(ids, "doc_id", "left_semi").where(F.col("text").isNotNull())
-    rows = sorted(set(map(tuple, found.limit(4 * len(y)).collect())))
-    return [(t.encode(), y[i]) for i, t in rows]
+
+    def only(chosen: list[int]) -> DataFrame:  # at most the two bounds
+        ids = F.broadcast(documents.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long"))
+        return documents.select("doc_id", "text").join(ids, "doc_id", "left_semi").where(F.col("text").isNotNull())
+
+    sizes = {r[0]: r[1] for r in only(list(y)).groupBy("doc_id").agg(F.max(F.octet_length("text"))).collect()}
+    chosen, total = [], 0
+    for i in (i for i in y if i in sizes):
+        if total + sizes[i] <= MOST_BYTES:
+            chosen.append(i)
+            total += sizes[i]
+    if not chosen:
+        return []
+    rows = only(chosen).groupBy("doc_id").agg(F.min("text")).collect()
+    return [(t.encode(), y[i]) for i, t in sorted(map(tuple, rows))]
 
 
 def score_toxicity(documents: DataFrame, model: Model) -> DataFrame:

@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sarnai.llm import chat, html_extract, langid, licenses, media, mixing, packing, quality, simhash, toxicity
+from sarnai.llm import chat, html_extract, langid, licenses, media, mixing, packing, quality, simhash, tokens, toxicity
 from sarnai.llm.tokens import ByteLevel
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -131,6 +131,32 @@ def test_ids_are_those_of_the_public_tokenizer(text):
 ENCODER, REFERENCE = ByteLevel(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@pytest.mark.parametrize("text", [" " * 5_000_000 + "x", "y" + "\n" * 1_200_000, "a" * 5_000_000, "!" * 5_000_000, "q" + " " * 600_000 + "<|endoftext|>" + "\t" * 600_000 + " z", "\u3000" * 300_000 + "b"])
+def test_ids_of_very_long_runs(text):
+    assert ENCODER.ids(text).tolist() == REFERENCE.encode(text, add_special_tokens=False).ids
+
+
+@given(st.text(alphabet=st.sampled_from(list("a \n\t1!\x1c\x85\xa0\u3000é'")), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_cut_runs_keep_the_ids(text):
+    import re
+
+    old, tokens._LONG = tokens._LONG, re.compile(f"{tokens.BLANK}{{3,}}")
+    try:
+        assert ENCODER.ids(text).tolist() == REFERENCE.encode(text, add_special_tokens=False).ids
+    finally:
+        tokens._LONG = old
+
+
+def test_long_blanks_through_the_queries(spark):
+    words = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, " " * 1_000_000 + "x", "en", "s", 1), (2, words + " " * 1_000_000 + "x", "en", "s", 1)], SCHEMA)
+    assert {r["doc_id"]: r["n_words"] for r in quality.measure_quality(docs).collect()} == {1: 1, 2: 31}
+    assert quality.keep_good(docs).count() <= 1
+    for r in packing.pack_documents(docs).where("start = 0").collect():
+        assert r["doc_tokens"] > 100
+
+
 @pytest.mark.parametrize("total", [0, 1, 5, 1023, 1024, 1025, 5000])
 def test_capacities(total):
     c = packing.capacities(total)
@@ -256,6 +282,68 @@ def test_toxicity_held_out(spark):
     assert got.score.between(0, 1).all()
 
 
+def toxic_rows(seed, insert, n=900, share=4):
+    """(text, label) rows of random words; ``insert`` puts a stretch into the words of a toxic row."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        ws = ["".join(rng.choice(["ta", "ne", "ri", "so", "mu", "el", "ko", "va"]) for _ in range(rng.randint(2, 4))) for _ in range(rng.randint(20, 90))]
+        if i % share == 0:
+            insert(rng, ws)
+        rows.append((" ".join(ws).encode(), int(i % share == 0)))
+    return rows
+
+
+def held_out_recall(rows):
+    cut = 2 * len(rows) // 3
+    model = toxicity.train(rows[:cut])
+    p = toxicity.Scorer(model).scores([t for t, _ in rows[cut:]])[0] >= 0.5
+    y = np.array([y for _, y in rows[cut:]], bool)
+    return p[y].mean(), (~p[~y]).mean()
+
+
+def test_toxic_phrase_of_ordinary_words():
+    def insert(rng, ws):
+        for _ in range(3):
+            ws[(at := rng.randrange(len(ws))) : at] = ["talone", "sorimu"]
+
+    rows = toxic_rows(4, insert, 1800)
+    rng = random.Random(8)
+    for i, (t, y) in enumerate(rows):  # each word alone is ordinary
+        if not y:
+            ws = t.split()
+            for w in (b"talone", b"sorimu"):
+                ws.insert(rng.randrange(len(ws)), w)
+            rows[i] = (b" ".join(ws), y)
+    caught, left = held_out_recall(rows)
+    assert caught > 0.85 and left > 0.95
+
+
+def test_rare_toxic_words():
+    words = ["".join(random.Random(i).choice("bcdfghjklmnpqrstvwxyz") + "u" for _ in range(4)) for i in range(40)]  # each in one toxic row of forty
+    caught, left = held_out_recall(toxic_rows(5, lambda rng, ws: [ws.insert(rng.randrange(len(ws)), rng.choice(words)) for _ in range(3)], 2400, 2))
+    assert caught > 0.9 and left > 0.95
+
+
+def test_margins_by_brute_force():
+    import zstandard
+
+    rows = toxic_rows(6, lambda rng, ws: ws.insert(rng.randrange(len(ws)), "vorgulent"))
+    model = toxicity.train(rows[:300])
+    texts = [toxicity.marked_words(t.decode()) for t, _ in rows[300:330]] + [[], ["A"], toxicity.marked_words("é" * 200)]
+    buffer, spans, of = toxicity.windows(texts)
+    want = [(i, f" {' '.join(ws[k : k + 8])} ".encode()) for i, ws in enumerate(texts) for k in range(0, max(1, len(ws) - 1), 7) if ws]
+    assert [(i, buffer[a : a + n]) for i, (a, n) in zip(of.tolist(), spans.tolist(), strict=True)] == want
+
+    def alone(content, window):
+        params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTLAZY2, min_match=5, search_log=4, window_log=17, hash_log=14, chain_log=15, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0)
+        used = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        used.precompute_compress(compression_params=params)
+        return len(zstandard.ZstdCompressor(dict_data=used, compression_params=params).compress(window))
+
+    ordinary, toxic = model.ordinary + bytes(len(model.toxic) + 16), model.ordinary + model.toxic + bytes(16)
+    assert toxicity.Scorer(model).margins(buffer, spans).tolist() == [alone(ordinary, w) - alone(toxic, w) for _, w in want]
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(toxicity.training_rows(odd, labels))
