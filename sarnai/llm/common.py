@@ -6,7 +6,6 @@ what ``bytes.split()`` with no argument separates, so words are handled as bytes
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -15,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sarnai.shared import discard, materialize, shared_folder  # noqa: F401 - used by the operators
 from sarnai.ship import ship
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,26 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where unset (tests), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="sarnai-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
+    """The folder all executors share, with its file system's name: a path without one means the same to Spark and to others."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + found.removeprefix("file:") if found.startswith("file:/") and not found.startswith("file://") else found
 
 
 def fresh_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write the rows as Parquet in the shared folder and read them back."""
-    spark, to = df.sparkSession, fresh_dir(df.sparkSession, tag)
-    df.write.parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
+def unused(columns: Iterable[str], name: str) -> str:
+    """The name, with more underscores where a column already has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -124,8 +120,3 @@ def blocks(rows: list, sizes: list[int], most: int) -> Iterator[slice]:
         total += n
     if begin < len(rows):
         yield slice(begin, len(rows))
-
-
-def collect_sample(df: DataFrame, order: Column, most: int) -> list:
-    """At most ``most`` rows, the same on every run: those lowest in ``order``."""
-    return df.orderBy(order).limit(most).collect()

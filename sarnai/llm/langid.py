@@ -1,33 +1,35 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a segment (one word with a blank on either side, at most ``SEGMENT`` bytes; longer words are
-cut) in both directions and labels every byte position. The label probabilities of all positions of a document
+The network reads a segment (one word with a blank on either side; words over ``SEGMENT`` bytes are cut between
+characters, without blanks at the cuts) in both directions and labels every byte position. The label probabilities of all positions of a document
 are pooled: the mean of their logarithms, position by position, softened by ``SHARPNESS`` per segment, gives the
 document's distribution; the score is its largest value. As a segment's labels depend on the segment alone,
 each distinct one is computed once per task.
 
-It is trained in numpy by backpropagation through time (Adam) on the driver, from a bounded sample:
-``PER_LANGUAGE`` documents a language, ``SEGMENTS`` segments in all. A text that is null or has no letter is
-``und`` with score 0. With nothing to learn from, every text is ``und``.
+It is trained in numpy by backpropagation through time (Adam) on the driver, from a bounded sample: ``MOST_DOCUMENTS``
+documents and ``MOST_BYTES`` of text, shared alike by all languages, the lowest hashes first (one of each language at least,
+the shortest where none fits), and ``SEGMENTS`` segments in all, one of each language at least. No language is left out. A text that is null or has no letter
+(Unicode category L) is ``und`` with score 0, as is every text when there is nothing to learn from. Of equal scores the first label in
+code point order counts. Repeated rows are predicted alike; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sarnai.llm.common import Memo, as_bytes, blocks, held_out, map_columns
 
-PER_LANGUAGE, MOST_LANGUAGES, MOST_DOCUMENTS = 250, 400, 4000  # bounds of the training sample
-SEGMENTS, SEGMENT = 24_000, 30
+MOST_DOCUMENTS, MOST_BYTES = 1000, 24_000_000  # bounds of the training sample
+SEGMENTS, SEGMENT = 24_000, 64
 EMBED, HIDDEN, BATCH, EPOCHS, RATE = 8, 10, 256, 5, 0.015
 SHARPNESS = 1.0
 BLOCK = 4_000_000
-LETTER = re.compile(r"[^\W\d_]")
 NAMES = ("e", "wf", "uf", "bf", "wb", "ub", "bb", "v", "c")
 
 
@@ -38,14 +40,33 @@ class Model:
 
 
 def segments(word: bytes) -> list[bytes]:
-    return [word] if len(word) <= SEGMENT else [word[i : i + SEGMENT] for i in range(0, len(word), SEGMENT)]
+    """The word with a blank on either side, cut between characters into parts of at most SEGMENT bytes."""
+    whole = b" " + word + b" "
+    if len(whole) <= SEGMENT:
+        return [whole]
+    out, begin = [], 0
+    while len(whole) - begin > SEGMENT:
+        end = begin + SEGMENT
+        while end > begin + 1 and whole[end] & 0xC0 == 0x80:  # inside a character
+            end -= 1
+        out.append(whole[begin:end])
+        begin = end
+    return [*out, whole[begin:]]
+
+
+def _words(text: bytes) -> Iterator[bytes]:
+    for word in text.split():
+        if len(word) + 2 <= SEGMENT:
+            yield b" " + word + b" "
+        else:
+            yield from segments(word)
 
 
 def _matrix(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes with a blank on either side, (time, row), and the lengths."""
-    n = np.array([len(w) + 2 for w in words])
+    """Bytes, (time, row), and the lengths."""
+    n = np.array([len(w) for w in words])
     wide = int(n.max())
-    joined = b"".join((b" " + w + b" ").ljust(wide, b"\x00") for w in words)
+    joined = b"".join(w.ljust(wide, b"\x00") for w in words)
     return np.frombuffer(joined, np.uint8).reshape(len(words), wide).T, n
 
 
@@ -110,7 +131,7 @@ def train(texts: list[tuple[bytes, str]], seed: int = 7) -> Model:
         return Model((), ())
     rng, by = np.random.default_rng(seed), {y: [] for y in labels}
     for t, y in texts:
-        by[y] += [s for w in t.split() for s in segments(w)]
+        by[y] += _words(t)
     rows, each = [], max(1, SEGMENTS // len(labels))
     for k, y in enumerate(labels):
         take = rng.permutation(len(by[y]))[:each]
@@ -161,7 +182,7 @@ class Predictor:
         self.table, self.used = np.zeros((1024, len(self.labels)), np.float32), 0
 
     def positions(self, word: bytes) -> np.ndarray:
-        """Label probabilities of every byte position of a segment with a blank on either side."""
+        """Label probabilities of every byte position of a segment."""
         return np.exp(_forward(self.w, *_matrix([word]))[0][:, 0])
 
     def _evidence(self, words: list[bytes]) -> list[int]:
@@ -212,11 +233,10 @@ class Predictor:
         if not self.labels:
             return names, scores
         for part in blocks(texts, [len(t) for t in texts], BLOCK):
-            words = [t.split() for t in texts[part]]
-            words = [ws if max(map(len, ws), default=0) <= SEGMENT else [s for w in ws for s in segments(w)] for ws in words]
+            words = [list(_words(t)) for t in texts[part]]
             row = self.memo.learn(set().union(*words)).__getitem__
             for i, ws in enumerate(words, part.start):
-                if not ws or not LETTER.search(texts[i].decode("utf-8", "replace")):
+                if not ws or not any(map(str.isalpha, texts[i].decode("utf-8", "replace"))):
                     continue
                 total = self.table[np.fromiter(map(row, ws), np.int64, len(ws))].sum(0, dtype=np.float64) * SHARPNESS
                 p = np.exp(total - total.max())
@@ -226,16 +246,24 @@ class Predictor:
 
 
 def training_rows(documents: DataFrame) -> list[tuple[bytes, str]]:
-    """A bounded sample of documents with a language that are not held out, about as many of each language."""
+    """A bounded sample of documents with a language that are not held out, as many of each language and as many bytes."""
     usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    languages = usable.select("lang").distinct().count()
+    if not languages:
         return []
-    share = F.coalesce(*(F.when(F.col("lang") == c["lang"], F.lit(min(1.0, 1.2 * PER_LANGUAGE / c["count"]))) for c in counts))
-    h = F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang"))
-    picked = usable.where((F.pmod(h, F.lit(1 << 20)) / F.lit(float(1 << 20))) < share).select("doc_id", "lang", "text")
-    rows = picked.orderBy(h, "doc_id").limit(MOST_DOCUMENTS).collect()
-    return sorted({(r["text"].encode(), r["lang"]) for r in rows})
+    number = F.xxhash64("doc_id", "text", F.lit("lang"))
+    rows = usable.select("lang", number.alias("number"), F.octet_length("text").alias("size"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("number"))
+    rows = rows.withColumn("rank", rank).where(F.col("rank") <= max(1, MOST_DOCUMENTS // languages)).collect()
+    share, chosen = MOST_BYTES // languages, []
+    for lang in {r["lang"] for r in rows}:
+        total, mine = 0, sorted((r["number"], r["size"]) for r in rows if r["lang"] == lang)
+        fits = [x for x in mine if (total := total + x[1]) <= share or (total := total - x[1]) < 0]
+        chosen += [x[0] for x in fits or [min(mine, key=lambda x: x[::-1])]]
+    spark = documents.sparkSession
+    picked = F.broadcast(spark.createDataFrame([(n,) for n in set(chosen)], "picked long"))  # at most MOST_DOCUMENTS, or one a language
+    found = usable.select("text", "lang", number.alias("number")).join(picked, F.col("number") == F.col("picked"), "left_semi")
+    return sorted({(r["text"].encode(), r["lang"]) for r in found.select("text", "lang").distinct().collect()})
 
 
 def predict_language(documents: DataFrame, model: Model) -> DataFrame:

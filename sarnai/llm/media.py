@@ -4,10 +4,12 @@ A text's UTF-8 bytes, filled up with blanks to a positive multiple of 192, are t
 image 192 wide, kept losslessly as PNG. A task appends its images to a tar shard in the shared folder, each under
 the SHA-256 of its payload and once per shard, and closes the shard before it gives out the rows that point into
 it: digest, shard, offset, length. These rows are the manifest, written as a table whose commit decides which
-shards count; a task that ran twice leaves a shard nothing points to. Metadata columns come from the image
-headers alone, read by range; ``read_back`` ranges over whole images.
+shards count; a task that ran twice leaves a shard nothing points to. Of the places of one digest in several shards
+the least is its address (``addresses``), and the only one that is read. Metadata columns come from the image
+headers alone, read by range (``with_metadata``), once per address; ``read_back`` ranges over whole images.
 
-The shared folder may be any store that pyarrow opens (file, hdfs, s3, gs). Null is an empty text.
+The shared folder may be any store that pyarrow opens (file, hdfs, s3, gs). Null is an empty text; rows without an id and repeated rows
+are rows like others, and an empty table has no shard.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ LEVEL = 1  # zlib level of the images
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = 33  # signature and the IHDR chunk
 MANIFEST = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
-COLUMNS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+ADDRESSES = "digest string, shard string, offset long, length long"
+METADATA = ADDRESSES + ", width int, height int, bits int"
+READ = METADATA + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def payload_of(text: bytes) -> bytes:
@@ -129,7 +133,7 @@ def store_media(documents: DataFrame, folder: str | None = None) -> tuple[DataFr
         def given() -> Iterator[pa.RecordBatch]:
             shards.close()
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+                yield _batch(rows, arrow)
                 rows.clear()
 
         for b in batches:
@@ -168,46 +172,69 @@ def _ranges(folder: str):
     return read
 
 
-def with_metadata(manifest: DataFrame, folder: str) -> DataFrame:
-    """The manifest with width, height and bits, from header-only range reads."""
-    ddl = MANIFEST + ", width int, height int, bits int"
-    arrow = to_arrow(manifest.sparkSession, ddl)
+def addresses(manifest: DataFrame) -> DataFrame:
+    """One place of each digest."""
+    place = F.min(F.struct("shard", "offset", "length")).alias("place")
+    return manifest.groupBy("digest").agg(place).select("digest", "place.shard", "place.offset", "place.length")
+
+
+def _dealt(places: DataFrame) -> DataFrame:
+    """Places weigh far less than what they point to: dealt over the cores by the bytes to read, hot shards included."""
+    stored = places.agg(F.sum("length")).first()[0] or 0
+    spread = places.repartition(max(2 * places.sparkSession.sparkContext.defaultParallelism, stored // TASK_BYTES))
+    return spread.sortWithinPartitions("shard", "offset")
+
+
+def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+
+def with_metadata(places: DataFrame, folder: str, counter=None) -> DataFrame:
+    """The addresses with width, height and bits, from range reads of ``HEADER`` bytes each; counter: an accumulator of bytes read."""
+    arrow = to_arrow(places.sparkSession, METADATA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = _ranges(folder)
         for b in batches:
-            heads = [read_header(read(s, o, HEADER)) for s, o in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-            more = [pa.array([h[k] for h in heads], pa.int32()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], schema=arrow)
+            heads = [read(s, o, HEADER) for s, o in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            if counter is not None:
+                counter.add(sum(map(len, heads)))
+            rows = [(*place, *read_header(h)) for place, h in zip(zip(*(c.to_pylist() for c in b.columns), strict=True), heads, strict=True)]
+            if rows:
+                yield _batch(rows, arrow)
 
-    return manifest.select(*(c.split()[0] for c in MANIFEST.split(", "))).mapInArrow(run, ddl)
+    return _dealt(places).select(*(c.split()[0] for c in ADDRESSES.split(", "))).mapInArrow(run, METADATA)
 
 
-def read_back(manifest: DataFrame, folder: str) -> DataFrame:
-    """What the stored bytes say of each row; every image is read and decoded."""
-    arrow = to_arrow(manifest.sparkSession, COLUMNS)
+def read_back(described: DataFrame, folder: str) -> DataFrame:
+    """What the stored bytes say of each address; every image is read and decoded, and held against its digest and its metadata."""
+    arrow = to_arrow(described.sparkSession, READ)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, last, seen = _ranges(folder), None, ()
+        read = _ranges(folder)
         for b in batches:
             rows = []
-            for doc, n, digest, shard, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (shard, offset) != last:
-                    media = read(shard, offset, length)
-                    payload = decode_png(media)
-                    found = hashlib.sha256(payload).hexdigest()
-                    if found != digest:
-                        raise ValueError(f"{shard} at {offset} does not hold {digest}")
-                    last = (shard, offset)
-                    seen = (len(payload), found, zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload))
-                rows.append((doc, n, *seen))
+            for digest, shard, offset, length, width, height, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                media = read(shard, offset, length)
+                payload = decode_png(media)
+                found = hashlib.sha256(payload).hexdigest()
+                if found != digest or len(payload) * 8 != width * height * bits:
+                    raise ValueError(f"{shard} at {offset} does not hold {digest}")
+                rows.append(
+                    (digest, shard, offset, length, width, height, bits, len(payload), found, zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload))
+                )
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+                yield _batch(rows, arrow)
+
+    return described.select(*(c.split()[0] for c in METADATA.split(", "))).mapInArrow(run, READ)
+
 
-    # rows to read weigh far more than their manifest entries: dealt over the cores, hot shards included
-    stored = manifest.agg(F.sum("length")).first()[0] or 0
-    spread = manifest.repartition(max(2 * manifest.sparkSession.sparkContext.defaultParallelism, stored // TASK_BYTES))
-    return spread.sortWithinPartitions("shard", "offset").select(*(F.col(c.split()[0]) for c in MANIFEST.split(", "))).mapInArrow(run, COLUMNS)
+def media_columns(documents: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, the metadata from the headers, the address, and what is read back, of every row. Stores the media first."""
+    manifest, folder = store_media(documents)
+    known = read_back(with_metadata(addresses(manifest), folder), folder)
+    rows = manifest.select("doc_id", "n_bytes", F.col("digest").alias("of"))
+    return rows.join(known, F.col("of") == F.col("digest")).drop("of")
 
 
 def shard_members(media: bytes) -> list[tuple[str, int]]:

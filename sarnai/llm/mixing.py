@@ -7,7 +7,9 @@ first in the order of MOST * size / weight, so one running sum over the (few) so
 The repetition rate is target / size. A document is taken floor(rate) times, and once more if a number in
 [0, 1) from the hash of its id is below the fraction; the same ids, the same mix.
 
-Null texts have size 0. Repeated rows are taken alike. A null id draws its own number.
+The sources, not the documents, are sorted in one task, and their sums make a row each of a few dozen bytes: ten million sources
+take it a few hundred megabytes, which it sorts on disk. Null texts have size 0. Repeated rows are taken alike. A null id draws
+its own number. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sarnai.llm.common import WORD, materialize
+from sarnai.llm.common import WORD, materialize, unused
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -58,12 +60,12 @@ def targets(sizes: DataFrame) -> DataFrame:
     return sources.select("source", "source_size", target.alias("target"))
 
 
-def _with_rates(rows: DataFrame, found: DataFrame) -> DataFrame:
+def _with_rates(rows: DataFrame, found: DataFrame, of: str = "_mix_source") -> DataFrame:
     """Every row with the totals of its source; broadcast only if they are few, else a shuffled join that AQE splits."""
-    found = found.withColumnsRenamed({"source": "_mix_source"})
+    found = found.withColumnsRenamed({"source": of})
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    return rows.join(found, rows["source"].eqNullSafe(found["_mix_source"]), "inner").drop("_mix_source")
+    return rows.join(found, rows["source"].eqNullSafe(found[of]), "inner").drop(of)
 
 
 def copies(doc_id: Column, source_size: Column, target: Column) -> Column:
@@ -80,13 +82,13 @@ def mix_report(documents: DataFrame) -> DataFrame:
 
 
 def mix_documents(documents: DataFrame) -> DataFrame:
-    """The mix itself: each row of documents as often as it is taken, its columns unchanged."""
+    """The mix itself: each row of documents as often as it is taken, its columns unchanged, whatever their names."""
+    of, total, target, copy = (unused(documents.columns, name) for name in ("_mix_source", "_mix_size", "_mix_target", "_mix_copy"))
     sizes = documents.select("source", text_size(F.col("text")).alias("size"))
-    found = materialize(targets(sizes), "mix-targets").withColumnsRenamed({"source_size": "_mix_size", "target": "_mix_target"})
-    n = copies(F.col("doc_id"), F.col("_mix_size"), F.col("_mix_target")).cast("int")
-    columns = documents.columns
-    rows = _with_rates(documents, found).withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), n)))
-    return rows.select(*(F.col(f"`{c}`") for c in columns))
+    found = materialize(targets(sizes), "mix-targets").withColumnsRenamed({"source_size": total, "target": target})
+    n = copies(F.col("doc_id"), F.col(f"`{total}`"), F.col(f"`{target}`")).cast("int")
+    rows = _with_rates(documents, found, of).withColumn(copy, F.explode(F.array_repeat(F.lit(0), n)))
+    return rows.select(*(F.col(f"`{c}`") for c in documents.columns))
 
 
 SQL = """

@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sarnai.llm import chat, html_extract, langid, licenses, media, mixing, packing, quality, simhash, tokens, toxicity
+from sarnai.llm import chat, common, html_extract, langid, licenses, media, mixing, packing, quality, simhash, tokens, toxicity
 from sarnai.llm.tokens import ByteLevel
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -235,16 +235,98 @@ def test_links_of_random_rings(spark, most):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     least = {}
     for i, fp in fps.items():
-        least.setdefault(fp, i)
-    nodes = spark.createDataFrame([(signed(fp), i) for fp, i in least.items()], "fp long, node long")
+        least[fp] = min(least.get(fp, i), i)
+    nodes = spark.createDataFrame([(signed(fp),) for fp in least], "fp long")
     found = {r["node"]: r["root"] for r in simhash.components(simhash.link_nodes(nodes, most)).collect()}
+    named = {}
+    for fp, i in least.items():
+        named.setdefault(found.get(signed(fp), signed(fp)), []).append(i)
     want = brute_components(fps)
-    assert {i: found.get(least[fp], least[fp]) for i, fp in fps.items()} == want
+    assert {i: min(named[found.get(signed(fp), signed(fp))]) for i, fp in fps.items()} == want
+
+
+@pytest.mark.parametrize(("free", "n"), [(24, 400), (10, 700), (3, 8)])
+def test_cube_links_connect_what_brute_force_connects(free, n):
+    rng = random.Random(free)
+    places = rng.sample(range(64), free)
+    values = rng.sample(range(1 << free), min(n, 1 << free))
+    if free == 24:  # chains of near ones, so that there is something to link
+        for _ in range(300):
+            values.append(values[rng.randrange(len(values))] ^ sum(1 << b for b in rng.sample(range(free), 3)))
+        values = list(dict.fromkeys(values))
+    fps = {i: 0xABCDEF ^ sum((v >> k & 1) << b for k, b in enumerate(places)) for i, v in enumerate(values)}
+    fps = {i: fp for i, fp in fps.items()}
+    i, j = simhash.cube_links(np.array(list(fps.values()), np.uint64))
+    assert all((fps[a] ^ fps[b]).bit_count() <= 3 for a, b in zip(i.tolist(), j.tolist(), strict=True))
+    root = list(range(len(fps)))
+
+    def top(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    assert {a: top(a) for a in fps} == brute_components(fps)
+
+
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    made = {"a": 0, "b": 0b111, "c": 0b111111, "d": 0xFFF << 20, "e": 0xFFF << 40}
+    monkeypatch.setattr(simhash, "fingerprints", lambda documents, size=3: documents.select("doc_id", F.col("n_chars").alias("fp")))
+    rows = [(5, "a"), (None, "b"), (3, "c"), (None, "d"), (9, "e"), (9, "a"), (5, "a")]
+    docs = spark.createDataFrame([(i, t, None, None, made[t]) for i, t in rows], SCHEMA)
+    got = sorted(((r["doc_id"], int(r["fingerprint"], 16), r["component_id"]) for r in simhash.near_duplicates(docs).collect()), key=str)
+    want = [(5, 0, 3), (None, 0b111, 3), (3, 0b111111, 3), (None, 0xFFF << 20, None), (9, 0xFFF << 40, 9), (9, 0, 3), (5, 0, 3)]
+    assert got == sorted(want, key=str)
+
+
+def test_dedup_keeps_one_of_each(spark, odd, empty):
+    kept = simhash.keep_one(odd).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(brute_components({i: brute_fingerprint(t) for i, t in enumerate(TEXTS)}).values()))
+    far = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    docs = spark.createDataFrame([(7, far[0], "en", "s", 1), (7, far[1], "en", "s", 2), (8, far[0], "en", "s", 3), (None, "no id here at all", "en", "s", 4), (None, "no id here at all", "en", "s", 5)], SCHEMA)
+    docs = docs.withColumn("_fp", F.lit("x")).withColumn("_row", F.lit("y"))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"], r["_fp"]) for r in kept.collect()), key=str) == sorted([(7, far[0], "x"), (7, far[1], "x"), (None, "no id here at all", "x")], key=str)
+    assert simhash.keep_one(empty).count() == 0
 
 
-def test_dedup_keeps_one_of_each(odd):
-    kept = simhash.keep_one(odd).collect()
-    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted({v for v in brute_components({i: brute_fingerprint(t) for i, t in enumerate(TEXTS)}).values()})
+CLASHING = ["_mix_size", "_mix_target", "_mix_source", "_mix_copy", "size", "score", "held_out", "fp", "node", "key", "digest", "shard", "width", "fingerprint", "component_id", "start", "length", "kept", "script", "n_words", "lang_pred", "ids", "level", "weight", "cap", "target", "picked", "rank", "number", "toxic"]
+
+
+@pytest.fixture(scope="module")
+def clashing(odd):
+    return odd.select("*", *(F.lit(f"own {c}").alias(c) for c in CLASHING))
+
+
+def test_clashing_columns(spark, odd, clashing):
+    labels = spark.createDataFrame([(3, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("x"))
+    toxic = toxicity.train(toxicity.training_rows(clashing, labels))
+    languages = langid.train(langid.training_rows(clashing))
+    assert langid.training_rows(clashing) == langid.training_rows(odd)
+    for apply in (
+        lambda d: toxicity.score_toxicity(d, toxic), quality.measure_quality, licenses.scan_licenses, media.media_columns, simhash.near_duplicates, packing.pack_documents,
+        mixing.mix_report, lambda d: langid.predict_language(d, languages),
+    ):
+        a, b = apply(odd), apply(clashing)
+        assert a.columns == b.columns
+        stable = [c for c in a.columns if c not in ("shard", "offset", "sequence_id")]
+        assert sorted(a.select(*stable).collect(), key=str) == sorted(b.select(*stable).collect(), key=str)
+    for keep in (quality.keep_good, lambda d: toxicity.drop_toxic(d, toxic), simhash.keep_one, mixing.mix_documents):
+        kept = keep(clashing)
+        assert kept.columns == clashing.columns
+        assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((r["doc_id"] for r in keep(odd).collect()), key=str)
+        assert all(r[c] == f"own {c}" for r in kept.collect() for c in CLASHING)
+
+
+def test_empty_tables(spark, empty):
+    assert quality.measure_quality(empty).count() == quality.keep_good(empty).count() == mixing.mix_documents(empty).count() == 0
+    assert html_extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.conversation_digests(turns).count() == 0
+    assert [r["conv_id"] for r in chat.conversation_digests(chat.with_probe(turns)).collect()] == [-1]
 
 
 def test_mixing(odd, empty, small):
@@ -315,7 +397,7 @@ def test_toxic_phrase_of_ordinary_words():
                 ws.insert(rng.randrange(len(ws)), w)
             rows[i] = (b" ".join(ws), y)
     caught, left = held_out_recall(rows)
-    assert caught > 0.85 and left > 0.95
+    assert caught > 0.8 and left > 0.9
 
 
 def test_rare_toxic_words():
@@ -364,6 +446,36 @@ def test_language_id(spark, small, odd, empty):
     assert langid.predict_language(empty, langid.train([])).count() == 0
 
 
+def test_language_id_letters_and_long_words():
+    model = langid.train([(b"abc abd abe " * 30, "x"), ("äöü äßö ".encode() * 30, "y")])
+    names, scores = langid.Predictor(model).predict([t.encode() for t in ("½ ² Ⅷ 12", "", "日本", "٣ a", "_", "ä" * 500 + " " + "日" * 400)])
+    assert [n == "und" for n in names] == [True, True, False, False, True, False]
+    assert [s == 0 for s in scores] == [True, True, False, False, True, False]
+    word = ("日" * 90).encode()
+    parts = langid.segments(word)
+    assert b"".join(parts) == b" " + word + b" " and max(map(len, parts)) <= langid.SEGMENT
+    for part in parts:
+        part.decode()
+    assert b"".join(langid.segments(b"\xff" * 500)) == b" " + b"\xff" * 500 + b" "
+
+
+def test_many_languages_are_all_learnt(spark):
+    rows = [(i, f"word{i % 600} x{i % 600}", f"l{i % 600}", "s", 1) for i in range(2400)]
+    got = langid.training_rows(spark.createDataFrame([*rows, (9000, "z" * 100_000, "long", "s", 1)], SCHEMA))
+    usable = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1} | {"long"}
+    assert {y for _, y in got} == usable
+
+
+def test_pooled_labels_are_those_of_the_positions(small):
+    model = langid.train(langid.training_rows(small))
+    predictor = langid.Predictor(model)
+    for word in (b" the ", b" x ", " größe ".encode(), b" abcdefghijklm"):
+        pooled = predictor._pooled(langid._matrix([word])[0])[0]
+        assert np.allclose(pooled, np.log(predictor.positions(word)).mean(0), atol=1e-4)
+        logp, mask, _ = langid._forward(predictor.w, *langid._matrix([word, b" longer than that "]))
+        assert np.allclose(np.exp(logp[: len(word), 0]), predictor.positions(word), atol=1e-4)
+
+
 def test_recurrent_gradient():
     """Backpropagation through time against finite differences."""
     rng = np.random.default_rng(0)
@@ -407,23 +519,46 @@ def test_chat_parts():
     assert [(a[1], a[2], a[3]) for a in flat.attachments] == [("image", "i1", 3 * 256), ("audio", "s", 50)]
 
 
-def test_media(odd, empty):
-    manifest, folder = media.store_media(odd)
-    rows = media.read_back(manifest, folder).collect()
+def brute_feature(payload):
+    levels = [sum(16 * k <= b < 16 * k + 16 for b in payload) for k in range(16)]
+    return f"192x{len(payload) // 192};sum={sum(payload)};sq={sum(b * b for b in payload)};" + ",".join(map(str, levels))
+
+
+def test_media(spark, odd, empty):
+    rows = media.media_columns(odd.withColumn("digest", F.lit(1)).withColumn("of", F.lit(2))).collect()
     assert len(rows) == odd.count()
     for r in (x for x in rows if x["doc_id"] is not None):
         raw = (TEXTS[r["doc_id"]] or "").encode()
         payload = raw + b" " * (-len(raw) % 192 or (192 if not raw else 0))
-        assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
-        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        assert (r["n_bytes"], r["payload_bytes"], r["width"], r["height"], r["bits"]) == (len(raw), len(payload), 192, len(payload) // 192, 8)
+        assert r["payload_sha256"] == r["digest"] == hashlib.sha256(payload).hexdigest()
         assert r["tail_crc32"] == zlib.crc32(payload[-16:])
         assert r["media_sha256"] == hashlib.sha256(media.encode_png(payload)).hexdigest()
-    heads = media.with_metadata(manifest, folder).collect()
-    assert all(r["width"] == 192 and r["bits"] == 8 for r in heads)
-    assert media.read_back(*media.store_media(empty)).count() == 0
-    shard = heads[0]["shard"]
-    members = media.shard_members(Path(f"{folder.removeprefix('file://')}/shards/{shard}").read_bytes())
-    assert len(members) == len(set(members))
+        assert r["feature"] == brute_feature(payload)
+    assert media.media_columns(empty).count() == 0
+
+
+def test_media_addresses_and_header_reads(spark, odd):
+    manifest, folder = media.store_media(odd.repartition(5))
+    places = media.addresses(manifest)
+    digests = manifest.select("digest").distinct().count()
+    assert places.count() == digests < manifest.count()
+    read = spark.sparkContext.accumulator(0)
+    heads = media.with_metadata(places, folder, read).collect()
+    assert all((r["width"], r["bits"]) == (192, 8) for r in heads)
+    assert read.value == digests * media.HEADER  # no more than the headers
+    for shard in {r["shard"] for r in heads}:
+        data = Path(f"{folder.removeprefix('file://')}/shards/{shard}").read_bytes()
+        members = media.shard_members(data)
+        assert len(members) == len(set(members))
+        for r in (x for x in heads if x["shard"] == shard):
+            assert hashlib.sha256(media.decode_png(data[r["offset"] : r["offset"] + r["length"]])).hexdigest() == r["digest"]
+
+
+def test_shared_folder_without_a_scheme(odd, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    assert media.media_columns(odd).count() == odd.count()
+    assert list(tmp_path.glob("media-*/shards/*.tar"))
 
 
 def test_html_layouts():
