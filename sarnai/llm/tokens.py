@@ -36,13 +36,17 @@ class ByteLevel:
         with open(description or public_tokenizers.path(BYTE_BPE_JSON), encoding="utf-8") as f:
             control = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         ranks = {piece: rank for piece, rank in ranks.items() if rank not in control.values()}
-        self.size = len(ranks) + len(control)
+        self.ranks, self.size = ranks, len(ranks) + len(control)
         self.encoding = tiktoken.Encoding(
             "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=control
         )
 
         self.control = re.compile("|".join(f"({re.escape(c)})" for c in control)) if control else None
 
+    def pieces(self) -> Iterator[tuple[int, bytes]]:
+        """(id, bytes) of the vocabulary but for its control strings."""
+        return ((rank, piece) for piece, rank in self.ranks.items())
+
     def ids(self, text: str) -> np.ndarray:
         if not _LONG.search(text):
             return np.array(self.encoding.encode(text, allowed_special="all"), dtype=np.uint32)

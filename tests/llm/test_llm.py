@@ -115,13 +115,57 @@ def test_quality_keeps_clean_text_of_many_languages(form):
     rules = quality.Rules()
     for lang, text in CLEAN.items():
         clean = unicodedata.normalize(form, text)
-        assert rules.verdict(clean, *rules.measures(clean, 0)), lang
+        assert rules.verdict(clean, *rules.measures(clean)), lang
     for lang in ("vi", "yo", "cs", "mn"):
         assert rules.kept(unicodedata.normalize(form, CLEAN[lang]).encode()), lang
     junk = " ".join("".join(random.Random(i).choice("qxzjkvw#$%&0189") for _ in range(9)) for i in range(40))
     assert not rules.kept(junk.encode()) and not rules.kept((junk + " é").encode())
 
 
+@given(st.text(alphabet=st.sampled_from(list("abzé ñß日本語한ж☃🙂€ก\u0301ẹ½²ﬁ!#\n\t")), max_size=25))
+@settings(max_examples=300, deadline=None)
+def test_fallback_bytes_are_those_of_the_piece_vocabulary(text):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert RULES.pieces.fallback_bytes(text) == sum(map(model.is_byte, model.encode(text)))
+
+
+RULES = quality.Rules()
+
+
+@given(st.text(alphabet=st.sampled_from(list("ab é#*$€+|日.,1 ")), max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_quality_measures_by_brute_force(text):
+    ids = REFERENCE.encode(text, add_special_tokens=False).ids
+    script, per_token, fallback, entropy, symbols, n = RULES.measures(text)
+    assert n == len(ids)
+    if not n:
+        return
+    share = [k / n for k in Counter(ids).values()]
+    assert per_token == len(text) / n
+    assert abs(entropy - (-sum(p * np.log2(p) for p in share) / np.log2(n) if n > 1 else 1)) < 1e-9
+    marks = [s for i in ids if not any(map(str.isalnum, s := REFERENCE.decode([i]))) and "\ufffd" not in s and any(c in "#*$%&|<>€+" for c in s)]
+    assert abs(symbols - len(marks) / n) < 1e-12
+    band = quality.BANDS.get(script, quality.OTHER)
+    if script == "LATIN":
+        band = band.lowered(sum(not c.isascii() and c.isalpha() for c in text) / max(1, sum(map(str.isalpha, text))))
+    fits = band.chars_low <= per_token <= band.chars_high and fallback <= band.fallback_high and symbols <= band.symbols_high
+    low = band.entropy_low - band.entropy_fall * max(0, np.log2(n) - 8)
+    assert RULES.verdict(text, *RULES.measures(text)) == (fits and entropy >= low)
+
+
+def test_quality_rejects_symbols_and_keeps_the_labelled_good():
+    import duckdb
+
+    at = "/root/testdata/sf0.01"
+    rows = duckdb.sql(f"SELECT quality, text FROM '{at}/documents.parquet' JOIN '{at}/labels.parquet' USING (doc_id) WHERE text IS NOT NULL").fetchall()
+    past = [(q, t) for q, t in rows if not RULES.base(t.encode(), t)[-1]]
+    kept = [RULES.kept(t.encode()) for _, t in past]
+    assert all(k for k, (q, _) in zip(kept, past, strict=True) if q == 1)
+    assert sum(not k for k, (q, _) in zip(kept, past, strict=True) if q == 0) >= 0.9 * sum(q == 0 for q, _ in past) > 0
+
+
 @given(st.text(alphabet=st.sampled_from(list("ab é\n\t 's1!日\x1c　\xa0")), max_size=30))
 @settings(max_examples=300, deadline=None)
 def test_ids_are_those_of_the_public_tokenizer(text):
