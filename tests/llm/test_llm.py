@@ -631,7 +631,7 @@ def test_html_table(spark):
 def test_licenses(spark, odd, empty):
     table = spark.createDataFrame([(1, "Intro.\nReleased under the MIT License.\nx"), (2, "Text. This work is licensed under the GNU General Public License, version 2."), (3, "My driving licence is lost."), (4, None), (5, "w " * 9000 + "Licensed under the Apache License, Version 2.0. " + "v " * 9000)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in licenses.scan_licenses(table).collect()}
-    assert {k: (r["license"], r["exact"]) for k, r in got.items()} == {1: ("MIT", True), 2: ("GPL-2.0", True), 5: ("Apache-2.0", True)}
+    assert {k: (r["license"], r["exact"]) for k, r in got.items()} == {1: ("MIT", True), 2: ("GPL-2.0-only", True), 5: ("Apache-2.0", True)}
     assert got[1]["start"] == 7
     assert licenses.scan_licenses(odd).count() == 0
     assert licenses.scan_licenses(empty).count() == 0
@@ -644,7 +644,7 @@ def test_license_templates_wrapped(mark):
             lines = [template] if mark is None else textwrap.wrap(template, 75 - len(mark))
             body = "\n".join((mark or "") + line for line in ["Copyright 2020 Some One", *lines, "and more words of the file follow"])
             got = licenses.notices(f"/*\n{body}\n*/\nint main", {})
-            assert [(r[2], r[6]) for r in got] == [(name, True)], (template, got)
+            assert [(r[2], r[6]) for r in got] == [("BSD-2-Clause" if name == "BSD" else name, True)], (template, got)
 
 
 def test_license_headers_as_they_stand():
@@ -652,13 +652,68 @@ def test_license_headers_as_they_stand():
     (row,) = licenses.notices(mit, {})
     assert (row[2], row[6], row[0]) == ("MIT", True, mit.index("Permission")) and mit[row[0] : row[0] + row[1]] == mit[row[0] :]
     gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n"
-    assert [(r[2], r[6]) for r in licenses.notices(gpl, {})] == [("GPL-3.0", True)]
+    assert [(r[2], r[6]) for r in licenses.notices(gpl, {})] == [("GPL-3.0-or-later", True)]
     mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. {}. If a copy was not given, ask."
     assert [[(r[2], r[6]) for r in licenses.notices(mpl.format(v), {})] for v in ("2.0", "1.1")] == [[("MPL-2.0", True)], [("MPL-1.1", True)]]
     both = "Licensed under the Apache License, Version 2.0\nReleased under the MIT License\n"
     assert [(r[2], r[6]) for r in licenses.notices(both, {})] == [("Apache-2.0", True), ("MIT", True)]
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "AGPL-3.0-or-later"),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+        ("Licensed under the Apache License, Version 1.1.", "Apache-1.1"),
+        ("Released under the BSD 2-Clause License.", "BSD-2-Clause"),
+        ("Released under the Artistic License.", "Artistic"),
+        ("This work is licensed under the GNU General Public License, version 2 or any later version.", "GPL-2.0-or-later"),
+        ("x " * 330 + "Released under the MIT License." + " y" * 330, "MIT"),
+        ("Licensed under the Foo License, Version 9.", None),
+        ("This work is licensed under the GNU General Public License, version 7.", None),
+    ],
+)
+def test_licenses_part_on_names_and_versions(text, want):
+    assert [(r[2], r[6]) for r in licenses.notices(text, {})] == ([(want, True)] if want else [])
+
+
+def test_bsd_clauses():
+    bsd = licenses.TEXTS["BSD"]
+    two, three = "\n".join(bsd), "\n".join([*bsd[:3], "3. " + licenses.TEXTS["BSD-3-Clause"][0], *bsd[3:]])
+    assert {r[2] for r in licenses.notices(two, {})} == {"BSD-2-Clause"}
+    assert {r[2] for r in licenses.notices(three, {})} == {"BSD-3-Clause"}
+    wrapped = textwrap.fill(" ".join(licenses.TEXTS["MIT"][2:]), 72)
+    assert {(r[2], r[6]) for r in licenses.notices(wrapped, {})} == {("MIT", True)}
+
+
+def test_licenses_by_brute_force():
+    """Exact notices in prose against a search of every template's words in the text's words."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "tu", "se"]) for _ in range(rng.randint(1, 4)))
+    words = [(("BSD-2-Clause" if n == "BSD" else n), licenses._WORD.findall(t.lower())) for n, ts in licenses.TEMPLATES.items() for t in ts]
+    every = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    for _ in range(25):
+        parts = []
+        for _ in range(rng.randint(2, 9)):
+            parts.append(" ".join(word() for _ in range(rng.randint(3, 30))) + ".")
+            if rng.random() < 0.5:
+                t = rng.choice(every)
+                parts.append(t if t.endswith((".", ":")) else t + ".")
+        text = rng.choice(["\n", "\n\n", " "]).join(parts)
+        met = list(licenses._WORD.finditer(text.lower()))
+        plain, taken, want = [m[0] for m in met], set(), []
+        for name, template in sorted(words, key=lambda w: -len(w[1])):
+            for i in range(len(plain) - len(template) + 1):
+                if plain[i : i + len(template)] == template and not taken & set(range(i, i + len(template))):
+                    taken |= set(range(i, i + len(template)))
+                    want.append((met[i].start(), name))
+        got = licenses.notices(text, {})
+        names = [r[2].replace("BSD-3-Clause", "BSD").replace("Apache-1.1", "BSD").replace("BSD-2-Clause", "BSD") for r in got]
+        assert all(r[6] for r in got), got
+        assert names == [n.replace("BSD-3-Clause", "BSD").replace("Apache-1.1", "BSD").replace("BSD-2-Clause", "BSD") for _, n in sorted(want)], text
+
+
 def test_pipeline_by_brute_force(spark):
     import corpus_pipeline as p
 
