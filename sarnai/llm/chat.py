@@ -10,10 +10,12 @@ Control strings start with ``<|``. In roles and texts one backslash goes between
 are there already (``<|`` to ``<\\|``, ``<\\|`` to ``<\\\\|``), so no text holds a control string, and reading takes one
 away. A line feed in a role is written ``<\\n|``, escaped in the same way before.
 
-The reader works on the written text alone and gives back the turns; the loss mask covers the content of
-assistant turns. Turns of a conversation are written and read one after the other in the order of turn, then
+The reader works on the written text alone and gives back the turns; the loss mask is the spans of the written text that hold the content of
+assistant turns (``loss_spans``). Placeholders found in the written text are matched, in order, with the recorded attachments: what is counted is
+what was read, and a record without its placeholder is an error. Turns of a conversation are written and read one after the other in the order of turn, then
 role, then text (nulls first), by a task that sorts on disk and holds one turn, so a conversation may have any
-number of them. A null role or text is empty; conversations without an id form one.
+number of them. A null role or text is empty; conversations without an id form one. Repeated rows are turns of their own; an empty table
+has no conversation; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,11 +34,12 @@ from sarnai.llm.common import to_arrow
 
 START, END = "<|im_start|>", "<|im_end|>"
 PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
+_PLACEHOLDER = re.compile(r"<\|(image|audio|document)\|>")
 IMAGE_TILE, IMAGE_TOKENS = 448, 256  # pixels a side of a tile; tokens a tile
 AUDIO_TOKENS_PER_SECOND = 25
 DOCUMENT_TOKENS_PER_PAGE = 512
 PROBE = "<|im_end|><|im_start|>assistant ok"
-COLUMNS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long"
+COLUMNS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long, references_sha256 string"
 
 
 def escape(text: str) -> str:
@@ -102,8 +105,8 @@ def write_turn(role: str | None, content) -> tuple[str, Flattened]:
     return f"{START}{escape_role(role or '')}\n{flat.text}{END}\n", flat
 
 
-def read_turns(formatted: str) -> Iterator[tuple[str, str]]:
-    """(role, text) of each turn of a written text; a text that is none is an error."""
+def turn_spans(formatted: str) -> Iterator[tuple[str, int, int]]:
+    """(role, begin and end of the content) of each turn of a written text; a text that is none is an error."""
     at = 0
     while at < len(formatted):
         if not formatted.startswith(START, at):
@@ -112,10 +115,25 @@ def read_turns(formatted: str) -> Iterator[tuple[str, str]]:
         end = formatted.index(END, line)
         if formatted[end + len(END) : end + len(END) + 1] != "\n":
             raise ValueError(f"turn not ended at {end}")
-        yield unescape_role(formatted[at + len(START) : line]), unescape(formatted[line + 1 : end])
+        yield unescape_role(formatted[at + len(START) : line]), line + 1, end
         at = end + len(END) + 1
 
 
+def read_turns(formatted: str) -> Iterator[tuple[str, str]]:
+    """(role, text) of each turn."""
+    return ((role, unescape(formatted[begin:end])) for role, begin, end in turn_spans(formatted))
+
+
+def loss_spans(formatted: str) -> list[tuple[int, int]]:
+    """The loss mask: where the content of assistant turns stands."""
+    return [(begin, end) for role, begin, end in turn_spans(formatted) if role == "assistant"]
+
+
+def read_attachments(content: str) -> list[tuple[int, str]]:
+    """(offset, type) of the placeholders in the written content of a turn."""
+    return [(m.start(), m[1]) for m in _PLACEHOLDER.finditer(content)]
+
+
 def format_turns(messages: DataFrame, parts: bool = False) -> DataFrame:
     """conv_id, turn, role, text and the turn written out, its attachments and expanded tokens; no shuffle.
 
@@ -137,19 +155,29 @@ class Digest:
 
     def __init__(self):
         self.turns = self.loss_chars = self.chars = self.attachments = self.tokens = 0
-        self.all, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.all, self.loss, self.references = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
 
-    def feed(self, formatted: str) -> None:
+    def feed(self, formatted: str, recorded: list[dict]) -> None:
         self.chars += len(formatted)
-        for role, text in read_turns(formatted):
+        found = []
+        for role, begin, end in turn_spans(formatted):
+            content = formatted[begin:end]
             self.turns += 1
-            self.all.update(f"{role}\n{text}\n".encode())
-            if role == "assistant":
-                self.loss_chars += len(text)
-                self.loss.update(text.encode())
+            self.all.update(f"{role}\n{unescape(content)}\n".encode())
+            found += read_attachments(content)
+        if found != [(a["at"], a["type"]) for a in recorded]:
+            raise ValueError("the placeholders are not those recorded")
+        self.attachments += len(found)
+        for a in recorded:
+            self.tokens += a["tokens"]
+            self.references.update(f"{a['type']}\n{a['ref']}\n".encode())
+        for begin, end in loss_spans(formatted):
+            text = unescape(formatted[begin:end])
+            self.loss_chars += len(text)
+            self.loss.update(text.encode())
 
     def row(self, conv: int | None) -> tuple:
-        return conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.attachments, self.tokens
+        return conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.attachments, self.tokens, self.references.hexdigest()
 
 
 def conversation_digests(messages: DataFrame, parts: bool = False) -> DataFrame:
@@ -165,14 +193,12 @@ def conversation_digests(messages: DataFrame, parts: bool = False) -> DataFrame:
             return made
 
         for b in batches:
-            for conv, formatted, n, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for conv, formatted, attachments in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if digest is None or conv != now:
                     if digest is not None:
                         rows.append(digest.row(now))
                     now, digest = conv, Digest()
-                digest.feed(formatted)
-                digest.attachments += n
-                digest.tokens += tokens or 0
+                digest.feed(formatted, attachments)
             if len(rows) >= 10_000:
                 yield batch()
         if digest is not None:
@@ -180,12 +206,24 @@ def conversation_digests(messages: DataFrame, parts: bool = False) -> DataFrame:
         if rows:
             yield batch()
 
-    turns = format_turns(messages, parts).select(
-        "conv_id", "turn", "role", "text", "formatted", F.size("attachments").alias("n"),
-        F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["tokens"]).alias("tokens"),
-    )
+    turns = format_turns(messages, parts)
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
-    return ordered.select("conv_id", "formatted", "n", "tokens").mapInArrow(run, COLUMNS)
+    return ordered.select("conv_id", "formatted", "attachments").mapInArrow(run, COLUMNS)
+
+
+def with_parts(messages: DataFrame) -> DataFrame:
+    """conversations with typed content as JSON: every text, and with turns 0, 1 and 2 of each three an image, a sound of as many seconds
+    as its conversation's id has in its last digit, and a document of a page, before, after and around it."""
+    text = F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text"))
+    ref = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    blank = lambda kind, **more: F.struct(F.lit(kind).alias("type"), ref.alias("ref"), *(v.alias(k) for k, v in more.items()))
+    image = blank("image", width=F.lit(500) + F.col("turn") * 100, height=F.lit(400))
+    audio = blank("audio", seconds=F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(10)))
+    document = blank("document", pages=F.lit(1))
+    joined = lambda *parts: F.concat(F.lit("["), F.concat_ws(",", *map(F.to_json, parts)), F.lit("]"))
+    which = F.pmod(F.col("turn"), F.lit(3))
+    content = F.when(which == 0, joined(image, text)).when(which == 1, joined(text, audio)).otherwise(joined(document, text, image))
+    return messages.withColumn("text", content)
 
 
 def with_probe(messages: DataFrame) -> DataFrame:
@@ -193,3 +231,19 @@ def with_probe(messages: DataFrame) -> DataFrame:
     rows = [(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)]
     probe = messages.sparkSession.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     return messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)
+
+
+PARTS_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text, ((turn % 3) + 3) % 3 AS which, coalesce(conv_id::VARCHAR, '') || CASE WHEN conv_id IS NULL THEN '' ELSE '/' END || turn AS ref,
+    greatest(1, ceil((500 + turn * 100) / 448.0)) * 256 AS image, greatest(1, ((coalesce(conv_id, 0) % 10) + 10) % 10 * 25) AS audio
+  FROM conversations
+), told AS (
+  SELECT *, CASE which WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 2 END AS n, CASE which WHEN 0 THEN image WHEN 1 THEN audio ELSE 512 + image END AS tokens,
+    CASE which WHEN 0 THEN 'image' || chr(10) || ref || chr(10) WHEN 1 THEN 'audio' || chr(10) || ref || chr(10)
+      ELSE 'document' || chr(10) || ref || chr(10) || 'image' || chr(10) || ref || chr(10) END AS named
+  FROM turns
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sum(n)::BIGINT AS n_attachments, sum(tokens)::BIGINT AS expanded_tokens, sha256(string_agg(named, '' ORDER BY turn)) AS references_sha256
+FROM told GROUP BY conv_id
+"""

@@ -7,9 +7,11 @@ conditional likelihood (forward-backward, AdaGrad) on labelled pages, and decode
 pages are at hand, they are made by ``labelled_pages``: a seeded generator of page layouts whose every block is
 known to be main text or not.
 
-Scripts, styles, titles, comments and other text that no browser shows in the page are not blocks. Character
-references are decoded, white space inside a block (also of a line break element) becomes one space, blocks are
-joined by a line feed. A null page is empty.
+Scripts, styles, titles, comments and other text that no browser shows in the page are not blocks; nor is what stands in an element
+with the ``hidden`` attribute or the style ``display: none``. Character
+references are decoded in each text node, white space inside a block (also a line break element, and U+00A0 and other blanks of Unicode) becomes one space, blocks are
+joined by a line feed. A null page is empty; a page without a block has an empty text. Repeated rows and rows without an id are extracted like
+others; an empty table gives an empty one; other columns are not read. A page is read as a whole, whatever its length.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)(?:>|\Z)", re.S
 )
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)(?!\s*=\s*[\"']?until-found)|\bstyle\s*=\s*(?:\"[^\"]*|'[^']*|[^\s>\"']*)display\s*:\s*none", re.I)
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN_TEXT = frozenset(["script", "style", "title", "noscript", "template", "textarea", "iframe", "svg", "noframes", "head"])
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())  # other tags end it
 RAW_END = {t: re.compile(rf"</{t}\b", re.I) for t in HIDDEN_TEXT - {"head"}}
@@ -53,16 +57,34 @@ class Block:
     linked: int  # characters of it in links
 
 
+def _veiled(veil: list[str], tag: str, closing: bool, rest: str) -> bool:
+    """Follow a tag inside an element that is not shown; false if it ends the element from outside and counts itself."""
+    if closing:
+        if tag not in veil:
+            veil.clear()
+            return False
+        while veil.pop() != tag:
+            pass
+        return True
+    if veil == ["p"] and tag in BLOCK or len(veil) == 1 and veil[0] in CLOSES.get(tag, ()):
+        veil.clear()
+        return False
+    if not rest.endswith("/"):
+        veil.append(tag)
+    return True
+
+
 def leaf_blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     pieces: list[tuple[str, bool]] = []
     link = False
+    veil: list[str] = []  # open elements from one that is not shown
     at = hidden = 0
 
     def close() -> None:
         if pieces:
-            text = " ".join(html.unescape("".join(p for p, _ in pieces)).split())
+            text = " ".join("".join(p for p, _ in pieces).split())
             if text:
                 out.append(Block(text, tuple(stack), sum(len(p) for p, in_link in pieces if in_link)))
             pieces.clear()
@@ -71,8 +93,8 @@ def leaf_blocks(page: str) -> list[Block]:
         nonlocal hidden
         if hidden and text.strip():  # no text can stand in the head itself
             hidden = 0
-        if text and not hidden:
-            pieces.append((text, link))
+        if text and not hidden and not veil:
+            pieces.append((html.unescape(text), link))
 
     while m := TOKEN.search(page, at):
         add(page[at : m.start()])
@@ -88,6 +110,12 @@ def leaf_blocks(page: str) -> list[Block]:
             if not closing and not m[3].endswith("/"):
                 end = RAW_END[tag].search(page, at)
                 at = end.start() if end else len(page)
+        elif veil and (tag in VOID or _veiled(veil, tag, closing, m[3])):
+            continue
+        elif not closing and tag not in VOID and m[3] and UNSEEN.search(m[3]):
+            veil.append(tag)
+            if tag in BLOCK:
+                close()
         elif tag == "a":
             link = not closing
         elif tag == "br":

@@ -32,6 +32,12 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
+def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's operator over conversations whose turns hold images, sounds and documents beside their text."""
+    found = chat.conversation_digests(chat.with_parts(table(spark, sf_dir, "conversations")), parts=True)
+    return found.select("conv_id", "n_turns", "n_attachments", "expanded_tokens", "references_sha256")
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
@@ -57,7 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_quality_rules, op3_html_extraction, op4_license_scan, op5_chat_formatting, op6_media_columns, op7_simhash, op8_packing,
-        op9_mixing, op10_language_id,
+        op9_mixing, op10_language_id, chat_typed_parts,
     )
 }
-ORACLES: dict[str, str] = {"op9_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op9_mixing": mixing.SQL, "chat_typed_parts": chat.PARTS_SQL}

@@ -568,6 +568,32 @@ def brute_feature(payload):
     return f"192x{len(payload) // 192};sum={sum(payload)};sq={sum(b * b for b in payload)};" + ",".join(map(str, levels))
 
 
+def test_chat_loss_mask_and_attachments_read_back():
+    parts = [{"type": "text", "text": "see <|image|> "}, {"type": "image", "ref": "i", "width": 1, "height": 1}, {"type": "document", "ref": "d", "pages": 3}]
+    written, flat = chat.write_turn("assistant", parts)
+    both = chat.write_turn("user", "q")[0] + written
+    ((begin, end),) = chat.loss_spans(both)
+    assert both[begin:end] == "see <\\|image|> <|image|><|document|>"
+    assert chat.read_attachments(both[begin:end]) == [(a[0], a[1]) for a in flat.attachments] == [(15, "image"), (24, "document")]
+    digest = chat.Digest()
+    recorded = [dict(zip(("at", "type", "ref", "tokens"), a, strict=True)) for a in flat.attachments]
+    digest.feed(written, recorded)
+    assert (digest.attachments, digest.tokens) == (2, 256 + 3 * 512)
+    with pytest.raises(ValueError):
+        chat.Digest().feed(written, recorded[:1])
+
+
+def test_chat_typed_parts_query(spark):
+    import duckdb
+
+    from sarnai.llm import queries
+
+    got = queries.chat_typed_parts(spark, SF).toPandas()
+    duckdb.sql(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    want = duckdb.sql(chat.PARTS_SQL).df()
+    assert sorted(map(tuple, got[list(want.columns)].values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
 def test_media(spark, odd, empty):
     rows = media.media_columns(odd.withColumn("digest", F.lit(1)).withColumn("of", F.lit(2))).collect()
     assert len(rows) == odd.count()
@@ -622,6 +648,46 @@ def test_html_head_may_be_left_open(end):
     assert [b.text for b in html_extract.leaf_blocks(f"{head}{end}Bare <b>text</b> of a page<p>More")] == ["Bare text of a page", "More"]
 
 
+def test_html_hidden_and_text_nodes():
+    blocks = lambda page: [b.text for b in html_extract.leaf_blocks(page)]
+    assert blocks("<p>a</p><div hidden><p>b</p><ul><li>c</ul></div><p>d</p>") == ["a", "d"]
+    assert blocks('<p>a <span style="color:red; display : none">b <b>c</b></span>d</p><p class=hidden>e</p>') == ["a d", "e"]
+    assert blocks("<p hidden>b<p>c</p><ul><li hidden>x<li>y</ul>") == ["c", "y"]
+    assert blocks("<div><section hidden><p>b</div><p>c</p>") == ["c"]
+    assert blocks("<div hidden><script>'</div>'</script>b<br></div>c") == ["c"]
+    assert blocks("a &lt<b>;y</b> &amp;amp; &nbsp; z") == ["a <;y &amp; z"]
+
+
+# Layouts written by hand, after no generator: (page, main text).
+BY_HAND = [
+    (
+        """<!doctype html><html lang=en><head><title>T</title></head><body class="post-template"><div id="page"><header id="masthead" class="site-header"><p class="site-title"><a href="/">The Blog</a></p><nav id="site-navigation"><ul class="menu"><li><a href="/a">About</a></li><li><a href="/b">Contact</a></li></ul></nav></header>
+        <main id="primary"><article id="post-1" class="post type-post"><h1 class="entry-title">On making bread</h1><div class="entry-content"><p>Bread needs flour, water and time.</p><p>Of these time matters most, as every baker knows.</p><h2>Flour</h2><p>Take the coarse one.</p></div></article>
+        <div id="comments" class="comments-area"><h2>Two thoughts</h2><ol class="comment-list"><li class="comment"><p>I tried that and it worked very well for me.</p></li></ol></div></main>
+        <aside id="secondary" class="widget-area"><section class="widget"><h2>Recent posts</h2><ul><li><a href="/x">On making cheese</a></li></ul></section></aside><footer class="site-footer"><p>Proudly made somewhere.</p></footer></div></body></html>""",
+        "On making bread\nBread needs flour, water and time.\nOf these time matters most, as every baker knows.\nFlour\nTake the coarse one.",
+    ),
+    (
+        """<body><div class="topbar"><a href="/">Home</a> <a href="/n">News</a></div><div class="cookie-banner"><p>We use cookies to serve you better.</p><button>Fine</button></div><div class="content"><h1>River rises again</h1><p>The river rose by two metres in the night.</p><div class="ad-slot"><p>Buy pumps now!</p></div><p>People left their houses before dawn.</p></div><div class="related"><h3>More</h3><ul><li><a href="/1">Rain to come</a></li><li><a href="/2">Bridges closed</a></li></ul></div><div id="footer">&copy; 2020 The Paper</div></body>""",
+        "River rises again\nThe river rose by two metres in the night.\nPeople left their houses before dawn.",
+    ),
+    (
+        """<html><body><nav><a href="/docs">Docs</a><a href="/api">API</a></nav><main><h1>Install</h1><p>Run the installer first.</p><pre>make all</pre><table><tr><th>Name</th><td>Value</td></tr></table></main><footer><p>Licence and terms</p></footer></body></html>""",
+        "Install\nRun the installer first.\nmake all\nName\nValue",
+    ),
+    (
+        """<div role="navigation"><ul><li><a href=1>Eins</a><li><a href=2>Zwei</a></ul></div><article><header><h1>Über das Wetter</h1></header><p>Es regnet seit Tagen &uuml;berall im Land.</p><blockquote><p>So viel Regen gab es nie.</p></blockquote><form><label>Name</label><input></form></article><section class="newsletter"><p>Jetzt anmelden und nichts verpassen!</p></section>""",
+        "Über das Wetter\nEs regnet seit Tagen überall im Land.\nSo viel Regen gab es nie.",
+    ),
+]
+
+
+def test_html_layouts_by_hand():
+    model = html_extract.default_model()
+    right = [html_extract.main_text(model, page) == want for page, want in BY_HAND]
+    assert sum(right) >= len(BY_HAND) - 1, right
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "u", "<article><p>Hello there, reader.</p></article>"), (2, "u", "<article><p>Hello there, reader.</p></article>")], "page_id long, url string, html string")
     rows = sorted(((r["page_id"], r["text"], r["n_chars"]) for r in html_extract.extract_main_text(pages).collect()))
