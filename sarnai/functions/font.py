@@ -80,14 +80,17 @@ class Rules:
 
 
 def rules_of(rows: DataFrame, rates: DataFrame) -> Rules:
-    """From rule, key, chunk, n and unit, rate; the bound is checked before anything is brought in."""
+    """From rule, key, chunk, n and unit, rate; both bounds are checked."""
     found = rows.limit(MOST_RULES + 1).collect()
     if len(found) > MOST_RULES:
         raise ValueError(f"over {MOST_RULES} font rules")
     tables: dict = {t: {} for t in ("r_uni", "r_pos", "r_prev", "r_next", "r_tri")}
     for rule, key, chunk, n in found:
         tables.setdefault(rule, {}).setdefault(key, {})[chunk] = n
-    return Rules(tables, dict(map(tuple, rates.limit(MOST_RULES).collect())))
+    spaces = rates.limit(MOST_RULES + 1).collect()
+    if len(spaces) > MOST_RULES:
+        raise ValueError(f"over {MOST_RULES} rates")
+    return Rules(tables, dict(map(tuple, spaces)))
 
 
 def translit_to_font(texts: DataFrame, key: str, text: str, rules: Rules) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sarnai.functions import text as T
 from sarnai.operators import lexicon, ordered, store
+from sarnai.plans import rules_sql as S
 from sarnai.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,10 +143,26 @@ def input_guard(spark, sf_dir):
     return load(spark, sf_dir, "documents").groupBy(T.input_guard(F.col("text")).alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, 'translit' AS script FROM documents UNION ALL SELECT * FROM (VALUES (-1, 'cyrillic'), (-2, 'todo'), (-3, 'todo'), (-4, 'unknown'))")
+def mixed_scripts(spark, sf_dir) -> DataFrame:
+    """doc_id and the text of documents put, by its id, into Cyrillic letters, into Todo letters, into both, into digits and marks, or left."""
+    d, at = load(spark, sf_dir, "documents"), F.col("doc_id") % 5
+    cyrillic, todo = F.translate("text", *MIXED_CYRILLIC), F.translate("text", *MIXED_TODO)
+    marks = F.regexp_replace("text", "[^ \\n.,!?]", "7")
+    text = F.when(at == 1, cyrillic).when(at == 2, todo).when(at == 3, F.concat(F.substring(todo, 1, 40), F.substring(cyrillic, 41, 1 << 20))).when(at == 4, marks).otherwise(F.col("text"))
+    return d.select("doc_id", text.alias("text"))
+
+
+# Letter for letter, so that a text keeps its length.
+MIXED_CYRILLIC = ("abvgdeziklmnoprstufhABVGDEZIKLMNOPRSTUFH", "абвгдезиклмнопрстуфхАБВГДЕЗИКЛМНОПРСТУФХ")
+MIXED_TODO = ("aeioubgdlmnrstABDGEIOU", "ᠠᡄᡅᡆᡇᡋᡎᡑᠯᡏᠨᠷᠰᡐᠠᡋᡑᡎᡄᡅᡆᡇ")
+MIXED = f"""SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN c WHEN 2 THEN d WHEN 3 THEN substr(d, 1, 40) || substr(c, 41) WHEN 4 THEN regexp_replace(text, '[^ \\n.,!?]', '7', 'g') ELSE text END AS text
+  FROM (SELECT doc_id, text, translate(text, '{MIXED_CYRILLIC[0]}', '{MIXED_CYRILLIC[1]}') AS c, translate(text, '{MIXED_TODO[0]}', '{MIXED_TODO[1]}') AS d FROM documents)"""
+SCRIPT = "CASE WHEN regexp_matches(text, '[\\x{1800}-\\x{18AF}]') THEN 'todo' WHEN regexp_matches(text, '[а-яёА-ЯЁәөүһҗңӘӨҮҺҖҢ]') THEN 'cyrillic' WHEN regexp_matches(text, '[a-zA-ZāēīōūȫǖöüγčšǰĀĒĪŌŪȪǕÖÜΓČŠ]') THEN 'translit' ELSE 'unknown' END"
+
+
+@query(f"SELECT doc_id, {SCRIPT} AS script FROM ({MIXED})")
 def script_detect(spark, sf_dir):
-    extra = spark.createDataFrame([(-1, "хальмг ulus"), (-2, "ᡍᠠᠯ"), (-3, "a ж ᡍ"), (-4, "12 !?")], "doc_id long, text string")
-    return load(spark, sf_dir, "documents").select("doc_id", "text").unionByName(extra).select("doc_id", T.detect_script(F.col("text")).alias("script"))
+    return mixed_scripts(spark, sf_dir).select("doc_id", T.detect_script(F.col("text")).alias("script"))
 
 
 STRIPPED = "array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '[;()\\[\\]«»“”„…]+', ' ', 'g'), ' {2,}', ' ', 'g'), ' ')), chr(10))"
@@ -156,7 +173,7 @@ def strip_marks(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.md5(T.strip_marks(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query()
+@query(f"SELECT doc_id, md5({S.to_todo('text')}) AS digest FROM documents")
 def translit_to_todo(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.md5(T.translit_to_todo(F.col("text")).cast("binary")).alias("digest"))
 
@@ -167,7 +184,7 @@ def todo_round_trip(spark, sf_dir):
     return load(spark, sf_dir, "benchmark").select("item_id", todo.alias("todo"), T.todo_to_translit(todo).alias("translit"))
 
 
-@query()
+@query(S.punctuation(f"SELECT item_id, {S.to_todo('text')} AS todo FROM benchmark", "item_id", "todo"))
 def punctuation_modes(spark, sf_dir):
     b = load(spark, sf_dir, "benchmark").select("item_id", T.translit_to_todo(F.col("text")).alias("todo"))
     return b.select("item_id", *(T.apply_punctuation(F.col("todo"), F.lit(m)).alias(m) for m in ("off", "frame", "all")))
@@ -217,11 +234,24 @@ def prefix_protect(spark, sf_dir):
     return lexicon.protected_prefix(types, lexicon.words(load(spark, sf_dir, "benchmark"), "item_id", "text"))
 
 
-@query(
-    f"""WITH f AS (SELECT word, count(*) AS n FROM ({_tokens('documents')}) GROUP BY word), t AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[ \\n]+'), lambda w: w <> '') AS ws FROM benchmark),
-    p AS (SELECT DISTINCT ws[i] AS a, ws[i + 1] AS b FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM t))
-    SELECT a, b, coalesce(ab.n > 0 AND ab.n >= least(coalesce(fa.n, 0), coalesce(fb.n, 0)), false) AS joined FROM p LEFT JOIN f fa ON fa.word = a LEFT JOIN f fb ON fb.word = b LEFT JOIN f ab ON ab.word = a || b"""
-)
+COUNTS = f"""f AS MATERIALIZED (SELECT word, count(*) AS n FROM ({_tokens('documents')}) GROUP BY word),
+  t AS MATERIALIZED (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[ \\n]+'), lambda w: w <> '') AS ws FROM benchmark)"""
+
+
+def _counted(sql: str, parts: str) -> str:
+    """SQL over p (pairs or triples) and f (counts) with a column n_<name> for each name=expression."""
+    found = [x.split("=") for x in parts.split(", ")]
+    wanted = " UNION ".join(f"SELECT {e} AS word FROM p" for _, e in found)
+    few = f"few AS MATERIALIZED (SELECT word, n FROM f WHERE word IN ({wanted}))"
+    joins = " ".join(f"LEFT JOIN few AS f_{name} ON f_{name}.word = {e}" for name, e in found)
+    counts = ", ".join(f"coalesce(f_{name}.n, 0) AS n_{name}" for name, _ in found)
+    return f"{few}, counted AS (SELECT p.*, {counts} FROM p {joins}) {sql}"
+
+
+PAIRS = "p AS MATERIALIZED (SELECT DISTINCT ws[i] AS a, ws[i + 1] AS b FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM t))"
+
+
+@query(f"WITH {COUNTS}, {PAIRS}, " + _counted("SELECT a, b, n_ab > 0 AND n_ab >= least(n_a, n_b) AS joined FROM counted", "a=a, b=b, ab=a || b"))
 def join_decisions(spark, sf_dir):
     freq = lexicon.words(load(spark, sf_dir, "documents"), "doc_id", "text").groupBy("word").agg(F.count("*").alias("n"))
     t = lexicon.words(load(spark, sf_dir, "benchmark"), "item_id", "text")
@@ -250,7 +280,29 @@ def witten_bell(spark, sf_dir):
     return lexicon.witten_bell(types, types).select("word", F.round("logp", 5).alias("logp"))
 
 
-@query()
+CYRILLIC_LETTERS = ("abvgdeziklmnoprstufxyhjcwq", "абвгдезиклмнопрстуфхыһйцүә")
+_SUBS = ", ".join(f"('{letter}', '{form}', {price}::DOUBLE)" for letter, forms in lexicon.SUB_COST.items() for form, price in forms.items())
+_SKELETON = lambda e: f"translate({e}, 'җңәяаэеөёоүюуһгх', 'жнaaaaaaaauuuggg')"
+_KEYS = "list_distinct([" + ", ".join(_SKELETON(e) for e in ("form", "replace(form, 'дж', 'ж')", "replace(form, 'нг', 'н')", "replace(replace(form, 'дж', 'ж'), 'нг', 'н')")) + "])"
+CANDIDATES = f"""WITH RECURSIVE voc AS MATERIALIZED (SELECT w AS candidate, {_SKELETON('w')} AS k, count(*) AS n FROM (SELECT translate(lower(word), '{CYRILLIC_LETTERS[0]}', '{CYRILLIC_LETTERS[1]}') AS w FROM ({_tokens('benchmark')}))
+    WHERE regexp_full_match(w, '[а-яһүә]+') GROUP BY 1, 2),
+  typed AS (SELECT DISTINCT unnest(regexp_extract_all(translate(translate(lower(text), '{CYRILLIC_LETTERS[0]}', '{CYRILLIC_LETTERS[1]}'), 'һүә', 'гуа'), '[а-я]+')) AS word FROM conversations),
+  forms AS (SELECT word, word AS form, 0.0::DOUBLE AS extra FROM typed UNION ALL SELECT word, CASE WHEN word[2] = 'а' THEN 'я' ELSE 'ю' END || word[3:], 0.5 FROM typed WHERE regexp_matches(word, '^й[ау]')),
+  pairs AS MATERIALIZED (SELECT DISTINCT form, candidate FROM (SELECT form, unnest({_KEYS}) AS k FROM forms) JOIN voc USING (k)),
+  subs(letter, made, price) AS (VALUES {_SUBS}),
+  walk(form, candidate, i, j, cost) AS (
+    SELECT form, candidate, 0, 0, 0.0::DOUBLE FROM pairs
+    UNION ALL
+    SELECT form, candidate, i + 1, j + length(made), cost + price FROM (
+      SELECT w.*, substr(candidate, i + 1, 1) AS made, 0.0::DOUBLE AS price FROM walk w WHERE i < length(candidate)
+      UNION ALL SELECT w.*, s.made, s.price FROM walk w JOIN subs s ON s.letter = substr(w.candidate, w.i + 1, 1))
+    WHERE starts_with(substr(form, j + 1), made)
+  ), cost AS (SELECT form, candidate, min(cost) AS cost FROM walk WHERE i = length(candidate) AND j = length(form) GROUP BY ALL),
+  scored AS (SELECT word, candidate, n, ln(n + 1) - 2.0 * min(cost + extra) AS score FROM forms JOIN cost USING (form) JOIN voc USING (candidate) GROUP BY word, candidate, n)
+  SELECT word, candidate, round(score, 4) AS score, row_number() OVER (PARTITION BY word ORDER BY score DESC, n DESC, candidate)::INT AS rank FROM scored"""
+
+
+@query(CANDIDATES)
 def letters_candidates(spark, sf_dir):
     """Candidates of every distinct word of conversations, put into Cyrillic letters as in letter_repair, from the benchmark's words."""
     ship(spark)
@@ -273,11 +325,15 @@ def diff_words(spark, sf_dir):
     return t.select("conv_id", "turn", F.size(T.diff_words(F.col("before"), F.col("text"))).alias("n_pairs"))
 
 
-@query()
+@query(
+    """WITH s AS (SELECT conv_id, list(length(text) ORDER BY turn) AS n FROM conversations GROUP BY conv_id),
+    p AS (SELECT conv_id, list_reduce(list_transform(n, lambda x: [x]), lambda acc, x: CASE WHEN acc[-1] + 2 + x[1] <= 3500 THEN list_concat(acc[:-2], [acc[-1] + 2 + x[1]]) ELSE list_concat(acc, x) END) AS packs FROM s)
+    SELECT conv_id, array_to_string(packs, ' ') AS packs FROM p"""
+)
 def greedy_pack_turns(spark, sf_dir):
     sizes = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))), lambda s: s["n"])
     c = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(sizes.alias("sizes"))
-    return c.select("conv_id", ordered.greedy_pack(F.col("sizes"), 3500).alias("packs"))
+    return c.select("conv_id", F.array_join(ordered.greedy_pack(F.col("sizes"), 3500).cast("array<string>"), " ").alias("packs"))
 
 
 @query("SELECT p_partkey, ((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 10)::BIGINT AS page FROM part")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sarnai.functions import messages as M
 from sarnai.operators import convert, layout, letters, lexicon, reading
-from sarnai.plans.catalogue import NGRAMS, _tokens, load, query
+from sarnai.plans import rules_sql as S
+from sarnai.plans.catalogue import COUNTS, MIXED, NGRAMS, SCRIPT, _counted, _tokens, load, mixed_scripts, query
 from sarnai.ship import ship
 
 KIND = "CASE event_id % 9 WHEN 0 THEN NULL WHEN 1 THEN 'off' WHEN 2 THEN 'on' WHEN 3 THEN 'frame' WHEN 4 THEN 'all' WHEN 5 THEN 'todo' WHEN 6 THEN 'fix' ELSE event_type END"
@@ -58,11 +59,20 @@ def reply_texts(spark, sf_dir):
     return rows.select("doc_id", reply.alias("reply"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE cut AS (
+      SELECT doc_id, 0 AS i, text AS rest, NULL::VARCHAR AS piece FROM documents WHERE text IS NOT NULL
+      UNION ALL
+      SELECT doc_id, i + 1, CASE WHEN length(rest) > 4096 THEN ltrim(substr(rest, upto + 1), chr(10)) END, CASE WHEN length(rest) > 4096 THEN regexp_replace(substr(rest, 1, upto), '[\\s]+$', '') ELSE rest END
+      FROM (SELECT *, CASE WHEN contains(h, chr(10) || chr(10)) AND two > 0 THEN two WHEN one > 0 THEN one ELSE 4096 END AS upto FROM (
+        SELECT *, length(h) - strpos(reverse(h), chr(10) || chr(10)) - 1 AS two, CASE WHEN contains(h, chr(10)) THEN length(h) - strpos(reverse(h), chr(10)) ELSE 0 END AS one FROM (SELECT *, substr(rest, 1, 4096) AS h FROM cut WHERE rest IS NOT NULL)))
+    ), p AS (SELECT doc_id, i, piece, max(i) OVER (PARTITION BY doc_id) AS last FROM cut WHERE i > 0)
+    SELECT doc_id, count(*)::INT AS n_pieces, string_agg(md5(piece), ' ' ORDER BY i) AS digest FROM p WHERE NOT (piece = '' AND i = last AND i > 1) GROUP BY doc_id"""
+)
 def split_messages(spark, sf_dir):
-    """The pieces of every text, as their number and a digest; rfind has no SQL form, so tests hold it against brute force."""
+    """The pieces of every text, as their number and digests."""
     pieces = M.split_text(F.col("text"))
-    return load(spark, sf_dir, "documents").select("doc_id", pieces.alias("p")).select("doc_id", F.size("p").alias("n_pieces"), F.md5(F.to_json("p").cast("binary")).alias("digest"))
+    return load(spark, sf_dir, "documents").select("doc_id", pieces.alias("p")).select("doc_id", F.size("p").alias("n_pieces"), F.array_join(F.transform("p", lambda x: F.md5(x.cast("binary"))), " ").alias("digest"))
 
 
 @query("SELECT conv_id, turn, (turn // 10)::BIGINT AS batch FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn FROM conversations)")
@@ -86,14 +96,10 @@ def letter_repair(spark, sf_dir):
     return fixed.select("id", "flag", F.size("fixes").alias("n_fixes"), F.md5(F.col("fixed").cast("binary")).alias("digest"))
 
 
-TRIPLES = f"""f AS (SELECT word, count(*) AS n FROM ({_tokens('documents')}) GROUP BY word), t AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[ \\n]+'), lambda w: w <> '') AS ws FROM benchmark),
-  p AS (SELECT DISTINCT ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT ws, unnest(range(1, len(ws) - 1)) AS i FROM t))"""
+TRIPLES = "p AS MATERIALIZED (SELECT DISTINCT ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT ws, unnest(range(1, len(ws) - 1)) AS i FROM t))"
 
 
-@query(
-    f"""WITH {TRIPLES} SELECT a, b, c, coalesce(fb.n, 0) = 0 AND coalesce(fbc.n, 0) > 0 AND coalesce(fbc.n, 0) >= least(coalesce(fb.n, 0), coalesce(fc.n, 0)) AND coalesce(fbc.n, 0) > coalesce(fab.n, 0) AS "right"
-    FROM p LEFT JOIN f fb ON fb.word = b LEFT JOIN f fc ON fc.word = c LEFT JOIN f fab ON fab.word = a || b LEFT JOIN f fbc ON fbc.word = b || c"""
-)
+@query(f"WITH {COUNTS}, {TRIPLES}, " + _counted('SELECT a, b, c, n_b = 0 AND n_bc > 0 AND n_bc >= least(n_b, n_c) AND n_bc > n_ab AS "right" FROM counted', "b=b, c=c, ab=a || b, bc=b || c"))
 def joins_to_the_right(spark, sf_dir):
     freq = lexicon.words(load(spark, sf_dir, "documents"), "doc_id", "text").groupBy("word").agg(F.count("*").alias("n"))
     w = Window.partitionBy("item_id").orderBy("pos")
@@ -199,19 +205,41 @@ def context_types(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, ['translit', 'todo', 'image', 'fix', 'other'][(doc_id % 5 + 1)::INT] AS target FROM documents),
-    e AS (SELECT *, CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) > 10000 THEN 'too_long' WHEN target = 'fix' THEN 'not_cyrillic' WHEN target = 'other' THEN 'unknown_target' END AS error FROM t)
-    SELECT doc_id, target, 'translit' AS script, error, CASE WHEN error IS NULL THEN md5(text) END AS digest FROM e"""
+    f"""WITH t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, ['translit', 'todo', 'image', 'fix', 'other'][(doc_id // 5 % 5 + 1)::INT] AS target FROM ({MIXED})),
+    s AS (SELECT *, {SCRIPT} AS script FROM t), e AS (SELECT *, CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) > 10000 THEN 'too_long' WHEN script = 'unknown' THEN 'unknown_script'
+      WHEN target = 'fix' AND script <> 'cyrillic' THEN 'not_cyrillic' WHEN target = 'todo' AND script = 'todo' THEN 'already_todo' WHEN target = 'other' THEN 'unknown_target' END AS error FROM s),
+    c AS (SELECT *, regexp_extract_all(lower(text), '[{convert.WORD}]+(?:-[{convert.WORD}]+)*|[^{convert.WORD}]+') AS parts FROM e WHERE error IS NULL AND script = 'cyrillic' AND target <> 'fix'),
+    d AS MATERIALIZED (SELECT translate(word, 'abvgdeziklmnoprstufh', 'абвгдезиклмнопрстуфх') AS word, min(word) AS translit FROM ({_tokens('benchmark')}) GROUP BY 1),
+    p AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM c), m AS (SELECT doc_id, string_agg(coalesce(d.translit, part), '' ORDER BY i) AS latin FROM p LEFT JOIN d ON d.word = part GROUP BY doc_id),
+    w AS (SELECT e.doc_id, e.target, e.script, e.error, e.text, latin, CASE WHEN e.error IS NULL AND e.target <> 'fix' THEN CASE e.script WHEN 'translit' THEN e.text WHEN 'cyrillic' THEN latin
+      WHEN 'todo' THEN CASE WHEN e.target = 'translit' THEN {S.todo_to_translit('e.text')} END END END AS translit FROM e LEFT JOIN m USING (doc_id))
+    SELECT doc_id, target, script, error, md5(translit) AS digest, CASE WHEN error IS NULL AND target IN ('todo', 'image') THEN md5({S.strip_marks("CASE WHEN script = 'todo' THEN text ELSE " + S.to_todo('translit') + " END")}) END AS todo_digest FROM w"""
 )
 def convert_requests(spark, sf_dir):
+    """Requests in every script and for every target; words of Cyrillic texts are looked up in a dictionary from the benchmark."""
     targets = F.array(*map(F.lit, (*M.MODES, "other")))
-    requests = load(spark, sf_dir, "documents").select("doc_id", "text", F.get(targets, (F.col("doc_id") % 5).cast("int")).alias("target"))
-    dictionary = lexicon.words(load(spark, sf_dir, "benchmark"), "item_id", "text").select("word", F.col("word").alias("translit")).distinct()
+    requests = mixed_scripts(spark, sf_dir).select("doc_id", "text", F.get(targets, (F.floor(F.col("doc_id") / 5) % 5).cast("int")).alias("target"))
+    words = lexicon.words(load(spark, sf_dir, "benchmark"), "item_id", "text").select(F.translate("word", "abvgdeziklmnoprstufh", "абвгдезиклмнопрстуфх").alias("word"), F.col("word").alias("translit"))
+    dictionary = words.groupBy("word").agg(F.min("translit").alias("translit"))
     done = convert.convert(requests, "doc_id", dictionary)
-    return done.select("doc_id", "target", "script", "error", F.md5(F.col("translit").cast("binary")).alias("digest"))
+    return done.select("doc_id", "target", "script", "error", F.md5(F.col("translit").cast("binary")).alias("digest"), F.md5(F.col("todo").cast("binary")).alias("todo_digest"))
 
 
-@query()
+_WORD = convert.WORD
+_LATIN = "abvgdeziklmnoprstufxyhjcwq", "абвгдезиклмнопрстуфхыһйцүә"
+
+
+@query(
+    f"""WITH d AS MATERIALIZED (SELECT translate(word, '{_LATIN[0]}', '{_LATIN[1]}') AS word, min(word) AS entry FROM ({_tokens('benchmark')}) GROUP BY 1),
+    t AS (SELECT concat_ws('/', conv_id, turn) AS id, translate(lower(text), '{_LATIN[0]}', '{_LATIN[1]}') AS text FROM conversations),
+    p AS (SELECT id, unnest(x) AS part, generate_subscripts(x, 1) AS i FROM (SELECT id, regexp_extract_all(text, '[{_WORD}]+(?:-[{_WORD}]+)*|[^{_WORD}]+') AS x FROM t)),
+    w AS (SELECT DISTINCT part, entry FROM p LEFT JOIN d ON d.word = part WHERE regexp_matches(part, '^[{_WORD}]')),
+    h AS (SELECT part, unnest(string_split(part, '-')) AS piece, generate_subscripts(string_split(part, '-'), 1) AS j FROM w WHERE entry IS NULL AND contains(part, '-')),
+    g AS (SELECT h.part, string_agg(coalesce(nullif(d.entry, ''), piece), ' ' ORDER BY j) AS joined FROM h LEFT JOIN d ON d.word = piece GROUP BY h.part HAVING bool_and(d.entry IS NOT NULL OR length(piece) > 2)),
+    s AS (SELECT w.part, coalesce(entry, joined, w.part) AS made, CASE WHEN entry IS NOT NULL THEN 'dict' WHEN joined IS NOT NULL THEN 'split' ELSE 'model' END AS source FROM w LEFT JOIN g USING (part))
+    SELECT id, md5(coalesce(string_agg(coalesce(made, p.part), '' ORDER BY i), '')) AS digest, count_if(source = 'dict')::BIGINT AS n_dict, count_if(source = 'split')::BIGINT AS n_split, count_if(source = 'model')::BIGINT AS n_model
+    FROM (SELECT DISTINCT id FROM t) LEFT JOIN p USING (id) LEFT JOIN s USING (part) GROUP BY id"""
+)
 def convert_cyrillic(spark, sf_dir):
     """Conversations put into Cyrillic letters, transliterated by a dictionary from the benchmark; golden texts are in the tests."""
     cyrillic = lambda c: F.translate(F.lower(c), "abvgdeziklmnoprstufxyhjcwq", "абвгдезиклмнопрстуфхыһйцүә")
