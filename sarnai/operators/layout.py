@@ -90,7 +90,8 @@ def stretch(values: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def text_is_light(dark_run: Column, light_run: Column, light: Column, total: Column) -> Column:
     """The class of shorter runs is the text; if they are about equal, the rarer one."""
-    apart = (dark_run > 0) & (light_run > 0) & ~((dark_run / light_run > 0.8) & (dark_run / light_run < 1.25))
+    share = F.try_divide(dark_run, light_run)
+    apart = (dark_run > 0) & (light_run > 0) & ~((share > 0.8) & (share < 1.25))
     return F.when(apart, light_run < dark_run).otherwise(light < 0.5 * total)
 
 
