@@ -22,6 +22,7 @@ DOT_LOW, DOT_HIGH, DOTS, DOT_SHARE, DUST_SHARE, DUST = 0.1, 1.5, 5, 0.35, 0.08,
 STRAY_GAP, STRAY_SHARE, STRAY_INK, STRAY_SIDE = 1.2, 0.15, 60, 0.5
 BLOCK_GAP, LINE_HEIGHT, LINE_WIDTH, LINE_GAP, MARGIN_COLUMNS = 2.5, 0.75, 1.5, 0.5, 4
 SPLIT_SHARE, VALLEY = 0.25, 0.3
+FOLD_MIDDLE, FOLD_STROKES, FOLD_SHARE, FOLD_INK, FOLD_SKEW = 0.2, 8, 0.015, 0.2, 1.0
 PIECES = "page_id long, piece long, y0 long, y1 long, x0 long, x1 long, ink long"
 
 
@@ -340,3 +341,36 @@ def estimate_skew(runs: DataFrame, most: float = 5.0, step: float = 0.5) -> Data
     coarse = sharpest(runs, F.array(*(F.lit(k * step) for k in range(-n, n + 1))))
     around = F.array(*(F.col("best") + F.lit(round(k * step / 5, 6)) for k in range(-5, 6)))
     return sharpest(runs.join(coarse, "page_id"), around).select("page_id", F.round("best", 3).alias("angle"))
+
+
+def folds(runs: DataFrame, s: DataFrame, widths: DataFrame) -> DataFrame:
+    """page_id, x of the fold of two facing pages that lie at different angles. widths: page_id, width.
+
+    The fold is the widest stretch without ink (a stroke's worth below an x is none) in the middle of the page, with a share of the ink on
+    either side; it counts if the angles of the sides differ."""
+    inked = projection(runs).join(s, "page_id").where(F.col("n") > F.col("s")).select("page_id", "x0", "x1")
+    edges = F.array(F.lit(0).cast("long"), F.col("width").cast("long"))
+    ends = widths.select("page_id", F.explode(edges).alias("x0")).withColumn("x1", F.col("x0"))
+    spans = merged_spans(inked.select("page_id", F.col("x0").cast("long").alias("x0"), F.col("x1").cast("long").alias("x1")).union(ends), ["page_id"], "x0", "x1", F.lit(0))
+    after = F.lead("begin").over(Window.partitionBy("page_id").orderBy("begin"))
+    bare = spans.select("page_id", F.col("end").alias("a"), after.alias("b")).where("b > a").join(widths, "page_id").join(s, "page_id")
+    middle, wide = (F.col("a") + F.col("b")) / 2, F.col("b") - F.col("a")
+    able = (F.abs(middle - F.col("width") / 2) <= FOLD_MIDDLE * F.col("width")) & (wide >= F.greatest(FOLD_STROKES * F.col("s"), FOLD_SHARE * F.col("width")))
+    best = bare.where(able).groupBy("page_id").agg(F.min_by(F.floor(middle), F.struct(-wide, "a")).alias("x"))
+
+    # runs cut at the fold, so that each side has its own ink and angle
+    cut = runs.join(best, "page_id")
+    part = lambda side, x0, x1: F.struct(F.lit(side).alias("side"), x0.alias("x0"), x1.alias("x1"))
+    parts = F.array(part("l", F.col("x0"), F.least("x1", "x")), part("r", F.greatest("x0", "x"), F.col("x1")))
+    sides = cut.select("page_id", "y", F.explode(parts).alias("p")).select("page_id", "y", "p.side", "p.x0", "p.x1").where("x0 < x1")
+    ink = sides.groupBy("page_id").agg(*(F.sum(F.when(F.col("side") == k, F.col("x1") - F.col("x0"))).alias(k) for k in "lr"))
+    enough = ink.where(F.least(F.coalesce("l", F.lit(0)), F.coalesce("r", F.lit(0))) >= FOLD_INK * (F.coalesce("l", F.lit(0)) + F.coalesce("r", F.lit(0)))).select("page_id")
+    of_side = sides.join(enough, "page_id", "left_semi").withColumn("page_id", F.concat_ws("/", "side", "page_id"))
+    angles = estimate_skew(of_side).groupBy(F.substring("page_id", 3, 32).cast("long").alias("page_id")).agg((F.max("angle") - F.min("angle")).alias("apart"))
+    return best.join(angles.where(F.col("apart") >= FOLD_SKEW), "page_id", "left_semi")
+
+
+def disk(r: Column) -> Column:
+    """Rows of flags of a disk of that radius, as array<array<boolean>>."""
+    at = F.sequence(-r, r)
+    return F.transform(at, lambda y: F.transform(at, lambda x: x * x + y * y <= r * r))

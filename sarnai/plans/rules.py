@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sarnai.functions import font
+from sarnai.functions import font, panel
 from sarnai.functions import messages as M
 from sarnai.functions import text as T
-from sarnai.operators import layout, reading
+from sarnai.operators import layout, lexicon, reading, seams
 from sarnai.plans import rules_sql as S
 from sarnai.plans.catalogue import MIXED, load, mixed_scripts, query
 from sarnai.sources import readers
@@ -354,3 +354,97 @@ def last_writes(spark, sf_dir):
     return kept.select("p_partkey", F.lit(True).alias("last"))
 
 
+_PRESS = """SELECT event_id, ['pick', 'toggle', 'set', 'back', 'reset', 'other', 'set'][(event_id % 7 + 1)::INT] AS act, ['fg', 'bg', 'size', 'font', 'punctuation', 'fix_letters', 'show_time', 'odd'][(event_id // 7 % 8 + 1)::INT] AS f,
+  ['red', 'black', 'large', 'serif', 'all', 'nothing', 'transparent'][(event_id // 56 % 7 + 1)::INT] AS v, ['red', 'black'][(user_id % 2 + 1)::INT] AS fg, ['black', 'transparent'][(user_id // 2 % 2 + 1)::INT] AS bg, user_id % 3 = 0 AS fix, user_id % 5 <> 0 AS timed FROM events"""
+
+
+@query(
+    f"""WITH p AS ({_PRESS}), s AS (SELECT *, act = 'set' AND ((f IN ('fg', 'bg') AND v IN ('red', 'black', 'transparent')) OR (f = 'size' AND v = 'large') OR (f = 'font' AND v = 'serif') OR (f = 'punctuation' AND v = 'all')) AS sets, act = 'toggle' AND f IN ('fix_letters', 'show_time') AS toggles FROM p),
+    c AS (SELECT *, sets AND f IN ('fg', 'bg') AND CASE f WHEN 'fg' THEN v = bg ELSE v = fg END AS same, CASE f WHEN 'fix_letters' THEN fix ELSE timed END AS now FROM s)
+    SELECT event_id, CASE WHEN sets OR toggles THEN f END AS field, CASE WHEN sets THEN v WHEN toggles THEN CASE WHEN now THEN 'off' ELSE 'on' END END AS value, act = 'reset' AS resets,
+      CASE WHEN toggles THEN CASE WHEN f = 'fix_letters' THEN CASE WHEN now THEN 'Не буду исправлять' ELSE 'Буду исправлять' END ELSE CASE WHEN now THEN 'Время работы больше не показываю' ELSE 'Буду показывать время работы' END END
+        WHEN same THEN '{panel.SAME_COLOR}' WHEN sets THEN 'Сохранил' WHEN act = 'reset' THEN 'Вернул настройки по умолчанию' END AS notice, same AS alert,
+      CASE WHEN act = 'pick' AND f NOT IN ('fix_letters', 'show_time', 'odd') THEN 'pick ' || f WHEN sets OR toggles OR act IN ('back', 'reset') THEN 'menu' END AS screen FROM c"""
+)
+def settings_presses(spark, sf_dir):
+    one = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    at, user = F.col("event_id"), F.col("user_id")
+    keys = F.create_map(
+        F.lit("do"), one(["pick", "toggle", "set", "back", "reset", "other", "set"], at % 7), F.lit("f"), one(["fg", "bg", "size", "font", "punctuation", "fix_letters", "show_time", "odd"], F.floor(at / 7) % 8),
+        F.lit("v"), one(["red", "black", "large", "serif", "all", "nothing", "transparent"], F.floor(at / 56) % 7),
+    )
+    press = panel.settings_press(keys, one(["red", "black"], user % 2), one(["black", "transparent"], F.floor(user / 2) % 2), user % 3 == 0, user % 5 != 0, ("serif", "plain"))
+    return load(spark, sf_dir, "events").select("event_id", press.alias("p")).select("event_id", "p.*")
+
+
+@query(
+    """WITH v AS (SELECT event_id, ['up', 'down', 'maybe', NULL][(event_id % 4 + 1)::INT] AS v, CASE WHEN event_id % 3 <> 0 THEN event_id * 7 % 2000 END AS r FROM events),
+    k AS (SELECT *, coalesce(v IN ('up', 'down'), false) AND r IS NOT NULL AS valid, r IN (SELECT doc_id FROM labels) AS known FROM v)
+    SELECT event_id, CASE WHEN NOT valid THEN 'answer' WHEN NOT known THEN 'unknown' WHEN v = 'up' THEN 'thank' ELSE 'await' END AS action, CASE WHEN valid AND known THEN v END AS rating FROM k"""
+)
+def rating_presses(spark, sf_dir):
+    at = F.col("event_id")
+    votes = load(spark, sf_dir, "events").select("event_id", F.get(F.array(*map(F.lit, ["up", "down", "maybe", None])), (at % 4).cast("int")).alias("v"), F.when(at % 3 != 0, at * 7 % 2000).alias("r"))
+    logged = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("r"), F.lit(True).alias("known")).distinct()
+    press = panel.rating_press(F.col("v"), F.col("r"), F.col("known"))
+    return votes.join(logged, "r", "left").select("event_id", press.alias("p")).select("event_id", "p.action", "p.rating")
+
+
+@query(
+    f"""SELECT event_id, '🖼 Картинка' || CASE WHEN t > l - f + 1 THEN ' · картинки ' || f || '–' || l || ' из ' || t ELSE '' END || CASE WHEN f = 1 AND event_id % 3 = 0 THEN {NL} || {NL} || '{panel.NOT_SHAPED}' ELSE '' END
+    || CASE WHEN f = 1 AND event_id % 2 = 0 THEN {NL} || {NL} || '{panel.COLOR_FALLBACK}' ELSE '' END || CASE WHEN f = 1 AND event_id % 7 > 0 THEN {NL} || {NL} || '⚠️ Текст не поместился целиком: не хватило ещё ' || (event_id % 7) || ' картинок. Пришлите его частями.' ELSE '' END
+    || CASE WHEN f = 1 AND event_id % 11 = 0 THEN {NL} || {NL} || '{M.LETTERS_HINT}' ELSE '' END || CASE WHEN l = t AND event_id % 4 <> 0 THEN {NL} || {NL} || '⏱ 413 мс' ELSE '' END AS caption
+    FROM (SELECT event_id, event_id % 2 * 10 + 1 AS f, least(event_id % 2 * 10 + 10, event_id % 2 * 10 + 1 + event_id % 25) AS l, event_id % 2 * 10 + 1 + event_id % 25 AS t FROM events)"""
+)
+def image_captions(spark, sf_dir):
+    e = F.col("event_id")
+    f = e % 2 * 10 + 1
+    t = f + e % 25
+    last = F.least(f + 9, t)
+    none = F.array().cast("array<struct<before:string,after:string>>")
+    caption = panel.image_caption(f, last, t, e % 3 != 0, e % 2 == 0, e % 7, none, F.when(e % 11 == 0, "hard").otherwise(""), F.lit(412.7), e % 4 != 0, last == t)
+    return load(spark, sf_dir, "events").select("event_id", caption.alias("caption"))
+
+
+@query("SELECT name AS key, CASE name WHEN 'red' THEN '🟥 красный' WHEN 'gold' THEN '🟡 золотой' WHEN 'transparent' THEN '▫️ прозрачный' ELSE name END AS label, count(*) AS n FROM (SELECT ['red', 'gold', 'transparent', 'teal'][(event_id % 4 + 1)::INT] AS name FROM events) GROUP BY ALL")
+def color_labels(spark, sf_dir):
+    key = F.get(F.array(*map(F.lit, ["red", "gold", "transparent", "teal"])), (F.col("event_id") % 4).cast("int"))
+    rows = load(spark, sf_dir, "events").select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    return rows.select("key", panel.color_label(F.col("key")).alias("label"), "n")
+
+
+@query(
+    """WITH RECURSIVE w AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, (length(text) % 300 + 20)::INT AS w, (length(text) % 700)::INT AS h, turn % 4 = 0 AS nl FROM conversations),
+    p AS (SELECT conv_id, i, w + 72 AS width, 0 AS page FROM w WHERE i = 1
+      UNION ALL SELECT n.conv_id, n.i, CASE WHEN p.width + CASE WHEN n.nl THEN 40 ELSE 14 END + n.w <= 1000 THEN p.width + CASE WHEN n.nl THEN 40 ELSE 14 END + n.w ELSE n.w + 72 END, page + CASE WHEN p.width + CASE WHEN n.nl THEN 40 ELSE 14 END + n.w <= 1000 THEN 0 ELSE 1 END
+      FROM p JOIN w n ON n.conv_id = p.conv_id AND n.i = p.i + 1),
+    g AS (SELECT conv_id, page, min(i) - 1 AS first, count(*) AS n, max(width) AS width FROM p GROUP BY ALL), t AS (SELECT conv_id, max(h) + 72 AS height FROM w GROUP BY conv_id)
+    SELECT conv_id, string_agg(first || ':' || n || ':' || width, ' ' ORDER BY page) FILTER (page < 2) AS pages, any_value(height)::INT AS height, greatest(max(page) + 1 - 2, 0)::INT AS truncated FROM g JOIN t USING (conv_id) GROUP BY conv_id"""
+)
+def picture_sheets(spark, sf_dir):
+    s = F.struct("turn", (F.length("text") % 300 + 20).alias("w"), (F.length("text") % 700).alias("h"), (F.col("turn") % 4 == 0).alias("nl"))
+    c = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(s)).alias("cs"))
+    part = lambda name: F.transform("cs", lambda x: x[name])
+    found = c.select("conv_id", panel.sheets(part("w"), part("h"), part("nl"), 1000, 14, 40, 36, 2).alias("s"))
+    pages = F.transform("s.pages", lambda p: F.concat_ws(":", p["first"].cast("string"), p["n"].cast("string"), p["width"].cast("string")))
+    return found.select("conv_id", F.array_join(pages, " ").alias("pages"), "s.height", "s.truncated")
+
+
+@query("SELECT DISTINCT user_id % 9 AS r, array_to_string(list_transform(range(-(user_id % 9), user_id % 9 + 1), lambda y: array_to_string(list_transform(range(-(user_id % 9), user_id % 9 + 1), lambda x: CASE WHEN x * x + y * y <= (user_id % 9) * (user_id % 9) THEN '1' ELSE '0' END), '')), ' ') AS disk FROM events")
+def disks(spark, sf_dir):
+    radii = load(spark, sf_dir, "events").select((F.col("user_id") % 9).alias("r")).distinct()
+    rows = F.transform(layout.disk(F.col("r")), lambda row: F.array_join(F.transform(row, lambda x: x.cast("int").cast("string")), ""))
+    return radii.select("r", F.array_join(rows, " ").alias("disk"))
+
+
+@query()
+def joined_lines(spark, sf_dir):
+    """Lines of the benchmark in Todo letters, every fourth word broken by a narrow gap, put together by the benchmark's words; the tests hold the
+    walk against cases for each of its rules."""
+    freq = lexicon.words(load(spark, sf_dir, "benchmark"), "item_id", "text").where("word RLIKE '^[a-z]+$'")
+    freq = freq.groupBy(T.todo_to_translit(T.translit_to_todo(F.col("word"))).alias("word")).agg(F.count("*").alias("n"))
+    broken = F.regexp_replace("text", "(\\w+ \\w+ \\w+ \\w{2})(\\w{2})", f"$1{seams.NARROW}$2")
+    lines = load(spark, sf_dir, "benchmark").select("item_id", T.translit_to_todo(broken).alias("line"))
+    done = seams.join_broken_words(lines, "line", seams.seams_of(freq), "joined")
+    gaps = lambda c: F.length(F.regexp_replace(c, f"[^ {seams.NARROW}]", ""))
+    return done.select("item_id", gaps("line").alias("n_gaps"), gaps("joined").alias("n_left"), F.md5(F.col("joined").cast("binary")).alias("digest"))
