@@ -16,6 +16,7 @@ from sarnai.functions import text as T
 from sarnai.functions.messages import MODES, capitalize_sentences
 from sarnai.operators import letters
 from sarnai.operators.lexicon import SUFFIX_PART
+from sarnai.shared import materialize
 
 # Letters of words of mixed script.
 WORD = "а-яёәөүһҗңa-z"
@@ -73,27 +74,30 @@ def convert(
     A request that cannot be served has an error and no results; null and empty texts are such. Without ``known``
     no letters are checked, without ``models.line`` and ``models.back`` there is no way back to Cyrillic."""
     models = models or Models()
-    rows = requests.select(key, "target", T.strip(F.col("text")).alias("text")).withColumn("script", T.detect_script(F.coalesce("text", F.lit(""))))
-    rows = rows.withColumn("error", error_of(F.col("text"), F.col("target"), F.col("script")))
-    good = rows.where("error IS NULL")
-    cyrillic = good.where("script = 'cyrillic'")
+    fixes = "array<struct<before:string,after:string>>"
+    classified = requests.select(key, "target", T.strip(F.col("text")).alias("text")).withColumn("script", T.detect_script(F.coalesce("text", F.lit(""))))
+    rows = materialize(classified.withColumn("error", error_of(F.col("text"), F.col("target"), F.col("script"))), "convert-rows")
+    good, script, target, text = rows.where("error IS NULL"), F.col("script"), F.col("target"), F.col("text")
     nothing = F.lit(None).cast("string")
+
+    # each script is a branch over the classified rows; only Cyrillic texts, looked up word by word, come back by their key
+    cyrillic = good.where("script = 'cyrillic'")
     if known is None:
-        checked = cyrillic.select(key, "target", "text", nothing.alias("fixed"), nothing.alias("flag"), F.lit(None).cast("array<struct<before:string,after:string>>").alias("fixes"))
+        checked = cyrillic.select(key, "target", "text", "script", nothing.alias("fixed"), nothing.alias("flag"), F.lit(None).cast(fixes).alias("fixes"))
     else:
-        forced = letters.repair(cyrillic.where("target = 'fix'"), key, "text", known, force=True)
-        found = forced.unionByName(letters.repair(cyrillic.where("target <> 'fix'"), key, "text", known))
-        checked = cyrillic.select(key, "target", "text").join(found.drop("russian"), key)
-    use = (F.col("target") == "fix") | F.lit(fix_letters)
-    checked = checked.select(key, F.when(use, F.coalesce("fixed", "text")).otherwise(F.col("text")).alias("fixed"), "flag", F.when(use, F.col("fixes")).alias("fixes"))
-    latin = transliterate(checked.join(cyrillic.where("target <> 'fix'").select(key), key, "left_semi"), key, "fixed", dictionary, models.word)
-
-    whole = good.join(checked, key, "left").join(latin.select(key, F.col("translit").alias("_latin")), key, "left")
-    script, target, text = F.col("script"), F.col("target"), F.col("text")
-    direct = F.when(script == "translit", text).when((script == "todo") & (target != "image"), T.todo_to_translit(text)).otherwise(F.col("_latin"))
-    whole = whole.withColumn("translit", F.when(target != "fix", direct))
-    todo = F.when(target.isin("todo", "image"), T.apply_punctuation(F.when(script == "todo", text).otherwise(T.translit_to_todo(F.col("translit"))), F.lit(punctuation)))
-    whole = whole.withColumn("todo", todo)
+        checked = cyrillic.join(letters.repair(cyrillic, key, "text", known, force=target == "fix").drop("russian"), key)
+    use = (target == "fix") | F.lit(fix_letters)
+    checked = checked.select(key, "target", "text", "script", F.when(use, F.coalesce("fixed", "text")).otherwise(text).alias("fixed"), "flag", F.when(use, F.col("fixes")).alias("fixes"))
+    latin = transliterate(checked.where("target <> 'fix'"), key, "fixed", dictionary, models.word)
+    looked = checked.join(latin.select(key, "translit"), key, "left")
+    direct = F.when(target == "fix", nothing).when(script == "translit", text).when(target != "image", T.todo_to_translit(text))
+    other = good.where("script <> 'cyrillic'").select(
+        key, "target", "text", "script", nothing.alias("fixed"), nothing.alias("flag"), F.lit(None).cast(fixes).alias("fixes"), direct.alias("translit")
+    )
+    whole = looked.unionByName(other)
+    drawn = target.isin("todo", "image")
+    whole = whole.withColumn("_todo", F.when(drawn & (script == "todo"), text).when(drawn, T.translit_to_todo(F.col("translit"))))
+    whole = whole.withColumn("todo", T.apply_punctuation(F.col("_todo"), punctuation))
     if models.line and models.back:
         lines = whole.where((target == "translit") & script.isin("todo", "translit")).select(key, F.posexplode(F.split("translit", "\n")).alias("_at", "_text"))
         lines = lines.select(F.struct(key, "_at").alias("_line"), "_text")
@@ -102,5 +106,6 @@ def convert(
         whole = whole.join(back.select(key, capitalize_sentences(F.array_join(F.transform("_ls", lambda x: x["cyrillic"]), "\n")).alias("cyrillic")), key, "left")
     else:
         whole = whole.withColumn("cyrillic", nothing)
-    results = whole.select(key, "translit", "todo", "cyrillic", F.when(target == "fix", F.col("fixed")).alias("fixed"), "flag", "fixes")
-    return rows.select(key, "target", "script", "error").join(results, key, "left")
+    results = whole.select(key, "target", "script", nothing.alias("error"), "translit", "todo", "cyrillic", F.when(target == "fix", F.col("fixed")).alias("fixed"), "flag", "fixes")
+    failed = rows.where("error IS NOT NULL").select(key, "target", "script", "error", *(nothing.alias(c) for c in ("translit", "todo", "cyrillic", "fixed", "flag")), F.lit(None).cast(fixes).alias("fixes"))
+    return results.unionByName(failed)

@@ -13,14 +13,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sarnai.functions.text import CYRILLIC, diff_words, is_russian, match_case, normalize_lookalikes, query_keys, skeleton, vowel_row
+from sarnai.functions.text import CYRILLIC, LOOKALIKE_FROM, diff_words, is_russian, match_case, normalize_lookalikes, query_keys, skeleton, vowel_row
 from sarnai.operators import lexicon
 from sarnai.shared import materialize
 from sarnai.ship import ship
 
 # Letters, weights and thresholds.
 SPECIAL, CONSONANTS = "әөүһҗң", "бвгджзйклмнпрстфхцчшщһҗң"
-TWINS = "a-zA-ZhHҳҲғҒəƏǝӓӒäÄӧӦöÖɵƟѳѲӱӰüÜұҰYҷҶӂӁӝӜҥҢҤӈӇӊӉŋŊ"
+TWINS = "a-zA-Z" + LOOKALIKE_FROM
 HARD = f"ё|яя|юю|^й[ау]|(?<=[^-э])э|[{CONSONANTS}][яю]"
 HABIT_DISCOUNT, SURE_MARGIN, SPLIT_PENALTY, BEST_STEMS = 0.3, 2.0, 1.0, 3
 STEM_MIN, SUFFIX_MAX = 3, 5
@@ -71,21 +71,22 @@ def detect(texts: DataFrame, key: str, tokens: DataFrame, unknown: DataFrame, ra
     words = tokens.where("word IS NOT NULL").join(marked, "word", "left")
     sums = words.groupBy(key).agg(F.count("*").alias("n"), F.count_if("hard").alias("n_hard"), F.count_if("hit").alias("n_hit"))
     foreign = F.filter(F.regexp_extract_all("text", F.lit(r"(?U)([\w'-]+)"), F.lit(1)), lambda t: t.rlike(f"[{CYRILLIC}]") & t.rlike(f"[{TWINS}]"))
-    facts = texts.select(key, "russian", F.size(foreign).alias("n_twins"), F.regexp_count(F.lower("norm"), F.lit(f"[{SPECIAL}]")).alias("n_special")).join(sums, key, "left")
+    facts = texts.select(key, "russian", "_force", F.size(foreign).alias("n_twins"), F.regexp_count(F.lower("norm"), F.lit(f"[{SPECIAL}]")).alias("n_special")).join(sums, key, "left")
     n, hit, none = F.coalesce("n", F.lit(0)), F.coalesce("n_hit", F.lit(0)), F.col("n_special") == 0
     flag = (
         F.when(F.col("russian"), "").when((F.col("n_twins") > 0) | (F.coalesce("n_hard", F.lit(0)) > 0), "hard").when(none & (hit > 0), "vocab")
         .when(none & (n >= LONG_TEXT), "length").when((hit >= SOME_WORDS) & (hit >= SOME_SHARE * n), "partial").otherwise("")
     )
-    return facts.select(key, "russian", flag.alias("flag"))
+    return facts.select(key, "russian", flag.alias("flag"), "_force")
 
 
-def repair(documents: DataFrame, key: str, text: str, known: Lexicon, force: bool = False) -> DataFrame:
+def repair(documents: DataFrame, key: str, text: str, known: Lexicon, force: Column | bool = False) -> DataFrame:
     """key, flag, russian, fixed and fixes (pairs of words before and after) of every row.
 
-    force: the author asked for it, so texts without a flag are repaired too, but for their capitalised names."""
+    force: of a row, its author asked for it, so it is repaired without a flag too, but for its capitalised names."""
     ship(documents.sparkSession)
-    texts = documents.select(key, F.col(text).alias("text")).withColumn("norm", normalize_lookalikes(F.col("text")))
+    force = F.lit(force) if isinstance(force, bool) else force
+    texts = documents.select(key, F.col(text).alias("text"), force.alias("_force")).withColumn("norm", normalize_lookalikes(F.col("text")))
     texts = texts.withColumn("russian", is_russian(F.col("text")))
     tokens = materialize(_tokens(texts, key), "letters-tokens")
     unknown = materialize(_unknown(tokens.where("word IS NOT NULL").select("word").distinct(), known), "letters-unknown")
@@ -109,7 +110,7 @@ def repair(documents: DataFrame, key: str, text: str, known: Lexicon, force: boo
     habits = seen.groupBy(key).agg(F.collect_set("habit").alias("habits"))
 
     # second pass: each word of a text once
-    wanted = flags.where(~F.col("russian") & (F.lit(force) | (F.col("flag") != ""))).select(key)
+    wanted = flags.where(~F.col("russian") & (F.col("_force") | (F.col("flag") != ""))).select(key)
     mine = tokens.join(unknown, "word", "left_semi").select(key, "word").distinct().join(wanted, key, "left_semi")
     my_parts = mine.where(F.col("word").contains("-")).select(key, F.explode(F.split("word", "-")).alias("word")).join(parts, "word", "left_semi").select(key, "word")
     my_bases = mine.where(~F.col("word").contains("-")).union(my_parts).distinct()
@@ -136,7 +137,7 @@ def repair(documents: DataFrame, key: str, text: str, known: Lexicon, force: boo
     named = (F.col("flag") == "") & (F.upper(first) == first) & (F.lower(first) != first) & ~F.col("starts")
     out = F.when(F.col("new").isNotNull() & (F.col("new") != F.col("word")) & ~named, match_case(F.col("part"), F.col("new"))).otherwise(F.col("part"))
     made = placed.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", out.alias("out")))), lambda s: s["out"]), "").alias("_fixed"))
-    whole = texts.drop("russian").join(flags, key, "left").join(made, key, "left").withColumn("fixed", F.when(F.col("text").isNotNull(), F.coalesce("_fixed", "norm")))
+    whole = texts.drop("russian", "_force").join(flags, key, "left").join(made, key, "left").withColumn("fixed", F.when(F.col("text").isNotNull(), F.coalesce("_fixed", "norm")))
     return whole.select(key, "flag", "russian", "fixed", F.when(F.col("text").isNotNull(), diff_words(F.col("text"), F.col("fixed"))).alias("fixes"))
 
 

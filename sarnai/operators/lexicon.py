@@ -130,7 +130,7 @@ def witten_bell(train: DataFrame, words_: DataFrame) -> DataFrame:
         return F.when(s["total"].isNull(), p).otherwise(lam * s["n"] / s["total"] + (1 - lam) * p)
 
     p = F.aggregate("levels", F.col("base"), step)
-    return levels.crossJoin(F.broadcast(base)).groupBy("word").agg(F.sum(F.log(p)).alias("logp"))  # base is one row
+    return levels.withColumn("base", base.scalar()).groupBy("word").agg(F.sum(F.log(p)).alias("logp"))
 
 
 def channel(right: str, written: str) -> tuple[float, tuple[tuple[str, str], ...]] | None:

@@ -21,16 +21,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, tag: str, name: str | None = None) -> DataFrame:
     """Write the rows as Parquet in the shared folder and read them back, so that later steps neither compute them again
-    nor depend on executors that may be lost. With a name, rows that were written whole under it before are read as they are."""
+    nor depend on executors that may be lost. With a name the folder is named so, and ``written`` finds it."""
     spark = df.sparkSession
     to = f"{shared_folder(spark)}/{tag}-{name or uuid.uuid4().hex}"
-    if name is None or not _file_system(spark, to).exists(_path(spark, f"{to}/_SUCCESS")):
-        df.write.mode("overwrite" if name else "errorifexists").parquet(to)
+    df.write.mode("overwrite" if name else "errorifexists").parquet(to)
     out = spark.read.schema(df.schema).parquet(to)
     out._sarnai_folder = to
     return out
 
 
+def written(spark: SparkSession, tag: str, name: str | None) -> DataFrame | None:
+    """The table materialized under that name, if all of it was written."""
+    at = f"{shared_folder(spark)}/{tag}-{name}"
+    if name is None or not _file_system(spark, at).exists(_path(spark, f"{at}/_SUCCESS")):
+        return None
+    return spark.read.parquet(at)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the folder of a materialized table that nothing will read again."""
     spark, at = df.sparkSession, df._sarnai_folder

@@ -56,17 +56,41 @@ class Reader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict):
         module, name = options["connect"].split(":")
         self.source = LongPoll(getattr(importlib.import_module(module), name)(), int(options.get("wait", 25)))
+        self.answers: dict = {}  # position -> updates from there, next position; in the order read
 
     def initialOffset(self) -> dict:
         return {"ts": self.source.position()}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         updates, ts = self.source.poll(start["ts"])
-        return iter([(u.get("type"), json.dumps(u.get("object"), ensure_ascii=False)) for u in updates]), {"ts": ts}
+        self.answers[start["ts"]] = (updates, ts)
+        return self._rows(updates), {"ts": ts}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        """A replayed batch; the server keeps recent events, and what it no longer holds is lost to any reader."""
-        updates, _ = self.source.poll(start["ts"])
+        """A replayed batch: the answers it was made of; after a restart, what the server still holds of that range. Positions
+        count updates, so what came after the end is cut off; it belongs to the next batch."""
+        at, out = start["ts"], []
+        while at != end["ts"] and at in self.answers:
+            updates, at = self.answers[at]
+            out += updates
+        if at != end["ts"]:
+            updates, _ = self.source.poll(at)
+            numbered = str(at).isdigit() and str(end["ts"]).isdigit()
+            out += updates[: int(end["ts"]) - int(at)] if numbered else updates
+        return self._rows(out)
+
+    def commit(self, end: dict) -> None:
+        """Answers before a committed position are not asked for again."""
+        at = next((k for k, (_, after) in self.answers.items() if after == end["ts"]), None)
+        for k in list(self.answers):
+            if at is None or k == end["ts"]:
+                break
+            del self.answers[k]
+            if k == at:
+                break
+
+    @staticmethod
+    def _rows(updates: list[dict]) -> Iterator[tuple]:
         return iter([(u.get("type"), json.dumps(u.get("object"), ensure_ascii=False)) for u in updates])
 
 

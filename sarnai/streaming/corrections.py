@@ -12,6 +12,7 @@ from sarnai.ship import ship
 
 EVENT = "user_id long, seq long, kind string, request_id long"  # kind: down, command, text or other
 FOUND = "user_id long, seq long, request_id long"
+PATIENCE_MS = 30 * 24 * 3600 * 1000  # a vote that nobody answers is forgotten then, so that state does not only grow
 
 
 def pending(log: DataFrame, by: list[str]) -> DataFrame:
@@ -24,11 +25,15 @@ def pending(log: DataFrame, by: list[str]) -> DataFrame:
     return texts.withColumn("_first", first).where("_first").select(*by, "seq", F.col("_state.request_id").alias("request_id"))
 
 
-def pending_stream(events: DataFrame) -> DataFrame:
-    """Streaming form over EVENT rows that come in order of seq per user, state kept per user."""
+def pending_stream(events: DataFrame, patience_ms: int = PATIENCE_MS) -> DataFrame:
+    """Streaming form over EVENT rows that come in order of seq per user, state kept per user until it is answered or too old."""
     ship(events.sparkSession)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame(columns=["user_id", "seq", "request_id"])
+            return
         waiting = state.get[0] if state.exists else None
         out = []
         for seq, kind, request in pd.concat(list(batches)).sort_values("seq")[["seq", "kind", "request_id"]].itertuples(index=False):
@@ -43,6 +48,7 @@ def pending_stream(events: DataFrame) -> DataFrame:
             state.remove() if state.exists else None
         else:
             state.update((int(waiting),))
+            state.setTimeoutDuration(patience_ms)
         yield pd.DataFrame(out, columns=["user_id", "seq", "request_id"])
 
-    return events.groupBy("user_id").applyInPandasWithState(step, FOUND, "request_id long", "append", "NoTimeout")
+    return events.groupBy("user_id").applyInPandasWithState(step, FOUND, "request_id long", "append", "ProcessingTimeTimeout")

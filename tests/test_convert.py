@@ -60,13 +60,12 @@ def test_event_log_round_trip(spark, tmp_path):
 def test_export(spark, tmp_path):
     rows = spark.createDataFrame([(i, f'x, "{i}"\ny' if i % 2 else None) for i in range(50)], "feedback_id long, correction string").repartition(3)
     writers.write_export(rows, str(tmp_path / "out"))
-    read = []
+    whole = ""
     for f in sorted(glob.glob(str(tmp_path / "out" / "part-*"))):
         with open(f, encoding="utf-8", newline="") as h:
-            text = h.read()
-        if text:
-            assert text.startswith("﻿feedback_id,correction\r\n")
-            read += list(csv.reader(text.removeprefix("﻿").splitlines(keepends=True)))[1:]
+            whole += h.read()
+    assert whole.startswith("\ufefffeedback_id,correction\r\n") and whole.count("\ufeff") == 1
+    read = list(csv.reader(whole.removeprefix("\ufeff").splitlines(keepends=True)))[1:]
     assert read == [[str(i), f'x, "{i}"\ny' if i % 2 else ""] for i in range(50)]
     writers.write_export(rows.limit(0), str(tmp_path / "none"))
     assert "".join(open(f, encoding="utf-8").read() for f in glob.glob(str(tmp_path / "none" / "part-*"))) == "﻿feedback_id\n"

@@ -207,3 +207,25 @@ def test_long_poll():
         seen += updates
     assert seen == [{"type": "a"}] and pauses == [1.0, 2.0]
     assert client.asked == [("k1", 100), ("k1", 101), ("k1", 150), ("k1", 150), ("k1", 150), ("k2", 150), ("k3", 300)]
+
+
+def test_long_poll_replays_a_batch_whole(monkeypatch):
+    import sys
+    import types
+
+    one, two, late = ({"type": "t", "object": k} for k in (1, 2, 3))
+    client = Server([{"ts": 102, "updates": [one, two]}, {"ts": 103, "updates": [late]}, {"ts": 103, "updates": [one, two, late]}])
+    module = types.ModuleType("a_client")
+    module.make = lambda: client
+    monkeypatch.setitem(sys.modules, "a_client", module)
+    reader = longpoll.Reader({"connect": "a_client:make"})
+    start = reader.initialOffset()
+    first, middle = reader.read(start)
+    rows = list(first)
+    later, end = reader.read(middle)
+    assert len(rows) == 2 and list(reader.readBetweenOffsets(start, middle)) == rows
+    assert list(reader.readBetweenOffsets(start, end)) == rows + list(later)
+    reader.commit(middle)
+    assert list(reader.answers) == [102]
+    again = longpoll.Reader({"connect": "a_client:make"})  # after a restart the server's answer holds more than the batch did
+    assert list(again.readBetweenOffsets({"ts": 100}, {"ts": 102})) == rows
