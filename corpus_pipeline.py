@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sarnai.llm import mixing, packing, quality, simhash, toxicity
-from sarnai.llm.common import materialize, table
+from sarnai.llm.common import materialize, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +26,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies that mixing made are packed each; a piece's place is (sequence_id, offset), as copies share doc_id and start."""
     return packing.pack_documents(docs)
 
 
@@ -37,10 +38,17 @@ STAGES = [
     ("packing", pack),
 ]
 ORACLE_SQL = None  # tokenisers and a trained model are not SQL; held against brute force in the tests
+RUN_NAME = "sarnai.pipeline.run"  # session setting; a run with a name resumes after the last stage that was written whole
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-").lower())
+    docs, name = table(spark, sf_dir, "documents"), spark.conf.get(RUN_NAME, None)
+    for at, (title, stage) in enumerate(STAGES):
+        docs = stored(spark, docs, sf_dir, stage, f"stage-{at}-" + title.replace(" ", "-").lower(), name)
     return docs
+
+
+def stored(spark: SparkSession, docs: DataFrame, sf_dir: str, stage, tag: str, name: str | None) -> DataFrame:
+    """The stage's rows as a table in the shared folder; read, and not made again, if a run of that name has written it."""
+    done = written(spark, tag, name)
+    return materialize(stage(spark, docs, sf_dir), tag, name) if done is None else done
