@@ -92,21 +92,24 @@ def mix_documents(documents: DataFrame) -> DataFrame:
 
 
 SQL = """
-WITH sizes AS (
+WITH RECURSIVE sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source
 ), weighed AS (
   SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight, 3 * source_size AS cap FROM per
-), levels AS (
-  SELECT *, row_number() OVER o AS pos,
-    (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
-      / (sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS lvl
-  FROM weighed WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)
-), fixed AS (
-  SELECT arg_min(lvl, pos) AS lvl FROM levels WHERE cap >= lvl * weight
+), weighs AS (
+  SELECT list(struct_pack(source := source, source_size := source_size, weight := weight, cap := cap)) AS ws, sum(source_size) AS total FROM weighed
+), shares AS (  -- sources above their cap are held to it and the rest is shared again, until none is above
+  SELECT 0 AS i, ws, ws[1:0] AS held, total::DOUBLE / list_sum(list_transform(ws, lambda w: w.weight))::DOUBLE AS lvl FROM weighs
+  UNION ALL
+  SELECT i + 1, open, next, CASE WHEN len(open) > 0 THEN ((SELECT total FROM weighs) - list_sum(list_transform(next, lambda w: w.cap)))::DOUBLE / list_sum(list_transform(open, lambda w: w.weight))::DOUBLE END
+  FROM (SELECT i, list_filter(ws, lambda w: w.cap >= lvl * w.weight) AS open, list_concat(held, list_filter(ws, lambda w: w.cap < lvl * w.weight)) AS next, len(held) AS before FROM shares) WHERE len(next) > before
+), last_share AS (
+  SELECT ws, held, lvl FROM shares QUALIFY row_number() OVER (ORDER BY i DESC) = 1
 ), targets AS (
-  SELECT source, source_size, least(cap::DOUBLE, coalesce((SELECT lvl FROM fixed) * weight, cap::DOUBLE)) AS target FROM levels
+  SELECT w.source AS source, w.source_size AS source_size, lvl * w.weight AS target FROM (SELECT unnest(ws) AS w, lvl FROM last_share)
+  UNION ALL SELECT w.source, w.source_size, w.cap::DOUBLE FROM (SELECT unnest(held) AS w FROM last_share)
 ), rates AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM targets
 )
