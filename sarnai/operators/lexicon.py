@@ -91,15 +91,15 @@ def goes_right(triples: DataFrame, freq: DataFrame) -> DataFrame:
     return counted.select("a", "b", "c", right.alias("right"))
 
 
-def pen_lifts(pairs: DataFrame, freq: DataFrame, gain: float = PEN_LIFT_GAIN) -> DataFrame:
-    """a, b -> gain, lifted: a rare b (or a short unknown a), and the model of word types finds ab likelier than a and b."""
+def pen_lifts(pairs: DataFrame, freq: DataFrame, gain: float = PEN_LIFT_GAIN, types: DataFrame | None = None) -> DataFrame:
+    """a, b -> gain, lifted: a rare b (or a short unknown a), and the model of word types (of freq, unless given) finds ab likelier than a and b."""
     counted = pairs
     for name, x in (("n_a", F.col("a")), ("n_b", F.col("b"))):
         counted = counted.withColumn("word", x).join(freq.withColumnRenamed("n", name), "word", "left").drop("word")
     fragment = (F.coalesce("n_b", F.lit(0)) < RARE) | ((F.coalesce("n_a", F.lit(0)) == 0) & (F.length("a") <= 2))
     counted = counted.withColumn("fragment", fragment)
     texts = counted.where("fragment").select(F.explode(F.array("a", "b", F.concat("a", "b"))).alias("word")).distinct()
-    logp = witten_bell(freq.select("word").distinct(), texts)
+    logp = witten_bell(freq.select("word").distinct() if types is None else types, texts)
     for name, x in (("l_a", F.col("a")), ("l_b", F.col("b")), ("l_ab", F.concat("a", "b"))):
         counted = counted.withColumn("word", x).join(logp.withColumnRenamed("logp", name), "word", "left").drop("word")
     more = F.when(F.col("fragment"), F.col("l_ab") - F.col("l_a") - F.col("l_b"))
