@@ -448,3 +448,41 @@ def joined_lines(spark, sf_dir):
     done = seams.join_broken_words(lines, "line", seams.seams_of(freq), "joined")
     gaps = lambda c: F.length(F.regexp_replace(c, f"[^ {seams.NARROW}]", ""))
     return done.select("item_id", gaps("line").alias("n_gaps"), gaps("joined").alias("n_left"), F.md5(F.col("joined").cast("binary")).alias("digest"))
+
+
+_TITLED = lambda title, lists: f"list_transform({lists}, lambda x, i: CASE WHEN i = 1 THEN '{title}' || {NL} || x ELSE x END)"
+
+
+@query(
+    f"""WITH b AS (SELECT conv_id, count(*) AS n, list_transform({_BLOCKS}, lambda t: [t]) AS ls FROM conversations GROUP BY conv_id), l AS (SELECT conv_id, n, {_JOINED('ls', 'x', 3500)} AS lines FROM b),
+    k AS (SELECT conv_id, list_concat(['{M.OCR_TITLE}' || n], CASE WHEN conv_id % 2 = 0 THEN {_TITLED(M.LABEL_CYRILLIC, 'lines')} ELSE [] END, {_TITLED(M.LABEL_TRANSLIT, 'list_transform(lines, lambda x: lower(x))')}, {_TITLED(M.LABEL_TODO, 'lines')},
+      CASE conv_id % 3 WHEN 1 THEN ['⚠️ Не разобрал 1 столбец: текст там размыт, в ответе их нет. Снимите эту часть страницы крупнее и резче.'] WHEN 2 THEN ['⚠️ Не разобрал 2 столбца: текст там размыт, в ответе их нет. Снимите эту часть страницы крупнее и резче.'] ELSE [] END,
+      CASE WHEN conv_id % 2 = 0 THEN ['{M.OCR_LOW_CONFIDENCE}'] ELSE [] END, CASE WHEN conv_id % 5 <> 0 THEN ['⏱ 413 мс'] ELSE [] END) AS blocks FROM l),
+    m AS (SELECT conv_id, {_JOINED('list_transform(blocks, lambda x: [x])', 'xx', 4096)} AS messages FROM k) SELECT conv_id, len(messages)::INT AS n, md5(array_to_string(messages, '|')) AS digest FROM m"""
+)
+def reading_replies(spark, sf_dir):
+    c = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]).alias("ls"))
+    at = F.col("conv_id")
+    cyrillic = F.when(at % 2 == 0, F.col("ls")).otherwise(F.array().cast("array<string>"))
+    found = c.select("conv_id", M.render_ocr(F.col("ls"), F.transform("ls", F.lower), cyrillic, at % 3, at % 2 == 0, F.lit(412.7), at % 5 != 0).alias("ms"))
+    return found.select("conv_id", F.size("ms").alias("n"), F.md5(F.array_join("ms", "|").cast("binary")).alias("digest"))
+
+
+@query("SELECT item_id, md5(regexp_replace(lower(trim(text, ' ')), '\\s+', '-', 'g')) AS digest FROM benchmark")
+def font_words(spark, sf_dir):
+    """Latin texts as the font's rules take them; the benchmark has no letter with a macron, so only blanks and case change."""
+    return load(spark, sf_dir, "benchmark").select("item_id", F.md5(font.split_latin(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query(
+    """WITH f AS (SELECT event_id, event_id % 6 + 3 AS n, event_id % 5 AS shift FROM events)
+    SELECT event_id, array_to_string(list_transform(range(n), lambda i: CASE WHEN i % 2 = 1 AND i < n - 1 AND len(list_filter(range((i - 1) * 4, (i + 2) * 4), lambda p: (p + shift) % 9 = 0)) = 0 THEN '1' ELSE '0' END), '') AS tight FROM f"""
+)
+def tight_gap_flags(spark, sf_dir):
+    """Texts of letters parted by narrow blanks, a frame a symbol; every ninth stripe of pixels is empty."""
+    n = (F.col("event_id") % 6 + 3).cast("int")
+    text = F.substring(F.lit(("ᠠ" + reading.NARROW) * 8), F.lit(1), n)
+    frames = F.sequence(F.lit(0), n - 1)
+    blank = F.transform(F.sequence(F.lit(0), n * 4 + 3), lambda p: (p + F.col("event_id") % 5) % 9 == 0)
+    flags = F.transform(reading.tight_gaps(text, frames, blank), lambda t: t.cast("int").cast("string"))
+    return load(spark, sf_dir, "events").select("event_id", F.array_join(flags, "").alias("tight"))
