@@ -196,10 +196,11 @@ def _links(keyed: DataFrame, most: int, last: bool) -> DataFrame:
 
         for b in batches:
             fps, keys = (b.column(n).to_numpy(zero_copy_only=False) for n in ("fp", "key"))
-            ends = [*(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-            for begin, end in zip([0, *ends], ends, strict=False):
-                if begin == end:
-                    continue
+            ends = np.append(np.flatnonzero(np.diff(keys)) + 1, len(keys))
+            begins = np.concatenate([[0], ends[:-1]])
+            wanted = ends - begins > 1  # of the groups within a batch only those of two or more link anything
+            wanted[0] = wanted[-1] = len(keys) > 0
+            for begin, end in zip(begins[wanted].tolist(), ends[wanted].tolist(), strict=True):
                 if keys[begin] != key:
                     yield from close()
                     held, size, key, over = [], 0, keys[begin], False
