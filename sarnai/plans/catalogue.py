@@ -178,10 +178,11 @@ def translit_to_todo(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.md5(T.translit_to_todo(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query()
+@query(f"SELECT doc_id, md5(todo) AS todo, md5({S.todo_to_translit('todo')}) AS translit FROM (SELECT doc_id, {S.normalize_ocr(S.to_todo('text'))} AS todo FROM documents)")
 def todo_round_trip(spark, sf_dir):
-    todo = T.normalize_ocr(T.translit_to_todo(F.col("text")))
-    return load(spark, sf_dir, "benchmark").select("item_id", todo.alias("todo"), T.todo_to_translit(todo).alias("translit"))
+    made = load(spark, sf_dir, "documents").select("doc_id", T.normalize_ocr(T.translit_to_todo(F.col("text"))).alias("todo"))
+    digest = lambda c: F.md5(c.cast("binary"))
+    return made.select("doc_id", digest(F.col("todo")).alias("todo"), digest(T.todo_to_translit(F.col("todo"))).alias("translit"))
 
 
 @query(S.punctuation(f"SELECT item_id, {S.to_todo('text')} AS todo FROM benchmark", "item_id", "todo"))

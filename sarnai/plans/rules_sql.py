@@ -79,3 +79,34 @@ def punctuation(table: str, key: str, todo: str) -> str:
     return f"""SELECT {key}, off, CASE WHEN {todo} = '' THEN {todo} ELSE {frame('off')} END AS frame,
       CASE WHEN {todo} = '' THEN {todo} ELSE translate({frame('every')}, '{T.SRC_STOP}', '{T.FULL_STOP}') END AS "all"
       FROM (SELECT *, {strip_marks(todo)} AS off, translate({trimmed}, '{T.SRC_COMMA}', '{T.COMMA}') AS every FROM ({table}))"""
+
+
+WORD = "᠋-᠏ᠠ-ᢪ"
+
+
+def _steps(expr: str, rules: list[tuple[str, str]]) -> str:
+    for pattern, made in rules:
+        expr = f"regexp_replace({expr}, '{pattern}', '{made}', 'g')"
+    return expr
+
+
+def round_harmony(word: str) -> str:
+    """word: the name of a lambda's argument."""
+    marked = "([ᡋᡌ][᠋-᠏]?)[ᡆᡉ]"
+    others = rf"regexp_replace({word}, '{marked}', '\1', 'g')"
+    count = lambda letters: f"len(regexp_extract_all({others}, '[{letters}]'))"
+    back, front = count("ᠠᡆᡇ"), count("ᡄᡈᡉ")
+    change = lambda vowel: rf"regexp_replace({word}, '{marked}', '\1{vowel}', 'g')"
+    return f"CASE WHEN {back} > {front} THEN {change('ᡆ')} WHEN {back} < {front} THEN {change('ᡉ')} ELSE {word} END"
+
+
+def normalize_ocr(expr: str) -> str:
+    letters, vowels, consonants = T.TODO_LETTERS, T.TODO_VOWELS, T.TODO_CONSONANTS
+    expr = _steps(expr, [
+        (r"ᡓ(ᡅ)", r"ᠴ\1"), (rf"(^|[^{WORD}])ᡓ([ᠠᡆᡇ])", r"\1ᡚ\2"),
+        (rf"([{consonants}])ᡃ([{vowels}])ᡃ?", r"\1\2ᡃ"), (rf"([{consonants}])ᡃ", r"\1"), (rf"ᡅᡅᠠ([^{letters}]|$)", r"ᡅᡕᡅᠨ\1"), (r"ᡅᡅ([︕︖])", r"ᡅ\1"),
+        (rf"([{T.NOT_AFTER_N}])ᠨ([^{WORD}]|$)", r"\1ᠠ\2"),
+    ])
+    expr = f"array_to_string(list_transform(regexp_extract_all({expr}, '[{WORD}]+|[^{WORD}]+'), lambda w: {round_harmony('w')}), '')"
+    alone = (rf"(^|[^{letters}])(ᡅ(?:ᠨ|ᡎᡅ))([^{letters}]|$)", r"\1ᡕ\2\3")  # twice, as neighbours share the character between them
+    return _steps(expr, [(rf"([{vowels}ᡃ])ᡅ([{consonants}])", r"\1ᡕᡅ\2"), alone, alone])
