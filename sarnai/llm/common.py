@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sarnai.shared import discard, materialize, shared_folder  # noqa: F401 - used by the operators
+from sarnai.shared import discard, materialize, shared_folder, written  # noqa: F401 - used by the operators
 from sarnai.ship import ship
 
 WORD = r"[^\x20\x09-\x0D]+"

@@ -37,10 +37,10 @@ TASK_BYTES = 32_000_000  # stored bytes that a task reads back
 LEVEL = 1  # zlib level of the images
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = 33  # signature and the IHDR chunk
-MANIFEST = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
-ADDRESSES = "digest string, shard string, offset long, length long"
+MANIFEST = "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"
+ADDRESSES = "digest binary, shard string, offset long, length long"  # digests travel as their 32 bytes
 METADATA = ADDRESSES + ", width int, height int, bits int"
-READ = METADATA + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = METADATA + ", tail_crc32 long, media_digest binary, feature string"
 
 
 def payload_of(text: bytes) -> bytes:
@@ -97,13 +97,13 @@ class Shards:
         self.store, self.root = fs.FileSystem.from_uri(folder)
         self.folder, self.open = folder, None
 
-    def add(self, digest: str, media: bytes) -> tuple[str, int, int]:
+    def add(self, digest: bytes, media: bytes) -> tuple[str, int, int]:
         if self.open is None:
             self.name = f"{uuid.uuid4().hex}.tar"
             self.store.create_dir(self.root, recursive=True)
             self.open, self.at, self.members = self.store.open_output_stream(f"{self.root}/{self.name}"), 0, {}
         if digest not in self.members:
-            info = tarfile.TarInfo(f"{digest}.png")
+            info = tarfile.TarInfo(f"{digest.hex()}.png")
             info.size = len(media)
             head = info.tobuf(tarfile.USTAR_FORMAT)
             self.open.write(head + media + b"\0" * (-len(media) % 512))
@@ -139,7 +139,7 @@ def store_media(documents: DataFrame, folder: str | None = None) -> tuple[DataFr
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
                 payload = payload_of(text)
-                digest = hashlib.sha256(payload).hexdigest()
+                digest = hashlib.sha256(payload).digest()
                 found = shards.members.get(digest) if shards.open is not None else None
                 rows.append((doc, len(text), digest, *(found or shards.add(digest, encode_png(payload)))))
                 if shards.full() or len(rows) >= SHARD_ROWS:
@@ -207,7 +207,8 @@ def with_metadata(places: DataFrame, folder: str, counter=None) -> DataFrame:
 
 
 def read_back(described: DataFrame, folder: str) -> DataFrame:
-    """What the stored bytes say of each address; every image is read and decoded, and held against its digest and its metadata."""
+    """What the stored bytes say of each address; every image is read and decoded, and held against its digest and its metadata, so these are
+    then known to be those of what was read."""
     arrow = to_arrow(described.sparkSession, READ)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,12 +218,9 @@ def read_back(described: DataFrame, folder: str) -> DataFrame:
             for digest, shard, offset, length, width, height, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 media = read(shard, offset, length)
                 payload = decode_png(media)
-                found = hashlib.sha256(payload).hexdigest()
-                if found != digest or len(payload) * 8 != width * height * bits:
-                    raise ValueError(f"{shard} at {offset} does not hold {digest}")
-                rows.append(
-                    (digest, shard, offset, length, width, height, bits, len(payload), found, zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload))
-                )
+                if hashlib.sha256(payload).digest() != digest or len(payload) * 8 != width * height * bits:
+                    raise ValueError(f"{shard} at {offset} does not hold {digest.hex()}")
+                rows.append((digest, shard, offset, length, width, height, bits, zlib.crc32(payload[-16:]), hashlib.sha256(media).digest(), feature(payload)))
             if rows:
                 yield _batch(rows, arrow)
 
@@ -233,8 +231,12 @@ def media_columns(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, the metadata from the headers, the address, and what is read back, of every row. Stores the media first."""
     manifest, folder = store_media(documents)
     known = read_back(with_metadata(addresses(manifest), folder), folder)
-    rows = manifest.select("doc_id", "n_bytes", F.col("digest").alias("of"))
-    return rows.join(known, F.col("of") == F.col("digest")).drop("of")
+    rows = manifest.select("doc_id", "n_bytes", F.col("digest").alias("of")).join(known, F.col("of") == F.col("digest"))
+    text = lambda c: F.lower(F.hex(c))
+    return rows.select(
+        "doc_id", "n_bytes", text("digest").alias("digest"), "shard", "offset", "length", "width", "height", "bits", (F.col("width") * F.col("height") * F.col("bits") / 8).cast("long").alias("payload_bytes"),
+        text("digest").alias("payload_sha256"), "tail_crc32", F.col("length").alias("media_bytes"), text("media_digest").alias("media_sha256"), "feature",
+    )
 
 
 def shard_members(media: bytes) -> list[tuple[str, int]]:

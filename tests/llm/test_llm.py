@@ -622,7 +622,7 @@ def test_media_addresses_and_header_reads(spark, odd):
         members = media.shard_members(data)
         assert len(members) == len(set(members))
         for r in (x for x in heads if x["shard"] == shard):
-            assert hashlib.sha256(media.decode_png(data[r["offset"] : r["offset"] + r["length"]])).hexdigest() == r["digest"]
+            assert hashlib.sha256(media.decode_png(data[r["offset"] : r["offset"] + r["length"]])).digest() == r["digest"]
 
 
 def test_shared_folder_without_a_scheme(odd, tmp_path, monkeypatch):
@@ -804,3 +804,20 @@ def test_pipeline_by_brute_force(spark):
 def test_control_strings_have_the_ids_of_the_other_library(text):
     assert ENCODER.ids(text).tolist() == REFERENCE.encode(text, add_special_tokens=False).ids
     assert 50256 not in ENCODER.ordinary_ids(text)
+
+
+def test_a_named_pipeline_run_resumes(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(1, "a", "en", "s", 1)], SCHEMA)
+    made = []
+
+    def stage(spark, docs, sf_dir):
+        made.append(1)
+        return docs
+
+    for name, times in ((None, 2), ("run-of-test", 1)):
+        made.clear()
+        for _ in range(2):
+            assert p.stored(spark, docs, SF, stage, "stage-of-test", name).collect() == docs.collect()
+        assert len(made) == times
