@@ -15,7 +15,6 @@ code point order counts. Repeated rows are predicted alike; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +26,7 @@ from sarnai.llm.common import Memo, as_bytes, blocks, held_out, map_columns
 
 MOST_DOCUMENTS, MOST_BYTES = 1000, 24_000_000  # bounds of the training sample
 SEGMENTS, SEGMENT = 24_000, 64
+PARTS, SPARE, BROADCAST_ROWS = 1 << 20, 4, 10_000  # of hashes; rows ranked for each one wanted; languages whose counts are broadcast
 EMBED, HIDDEN, BATCH, EPOCHS, RATE = 8, 10, 256, 5, 0.015
 SHARPNESS = 1.0
 BLOCK = 4_000_000
@@ -54,12 +54,16 @@ def segments(word: bytes) -> list[bytes]:
     return [*out, whole[begin:]]
 
 
-def _words(text: bytes) -> Iterator[bytes]:
-    for word in text.split():
-        if len(word) + 2 <= SEGMENT:
-            yield b" " + word + b" "
-        else:
-            yield from segments(word)
+def _keys(text: bytes) -> list[bytes]:
+    """The words of a text, as memo keys: a word, or a blank and a part of a cut one (no word begins with a blank)."""
+    words = text.split()
+    if max(map(len, words), default=0) + 2 <= SEGMENT:
+        return words
+    return [k for w in words for k in ([w] if len(w) + 2 <= SEGMENT else [b" " + part for part in segments(w)])]
+
+
+def _segment(key: bytes) -> bytes:
+    return key[1:] if key[:1] == b" " else b" " + key + b" "
 
 
 def _matrix(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +135,7 @@ def train(texts: list[tuple[bytes, str]], seed: int = 7) -> Model:
         return Model((), ())
     rng, by = np.random.default_rng(seed), {y: [] for y in labels}
     for t, y in texts:
-        by[y] += _words(t)
+        by[y] += map(_segment, _keys(t))
     rows, each = [], max(1, SEGMENTS // len(labels))
     for k, y in enumerate(labels):
         take = rng.permutation(len(by[y]))[:each]
@@ -185,8 +189,9 @@ class Predictor:
         """Label probabilities of every byte position of a segment."""
         return np.exp(_forward(self.w, *_matrix([word]))[0][:, 0])
 
-    def _evidence(self, words: list[bytes]) -> list[int]:
+    def _evidence(self, keys: list[bytes]) -> list[int]:
         """Rows of the table that hold the mean log probabilities over the positions of each segment."""
+        words = list(map(_segment, keys))
         if len(self.memo.known) == 0:
             self.used = 0
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
@@ -233,7 +238,7 @@ class Predictor:
         if not self.labels:
             return names, scores
         for part in blocks(texts, [len(t) for t in texts], BLOCK):
-            words = [list(_words(t)) for t in texts[part]]
+            words = [_keys(t) for t in texts[part]]
             row = self.memo.learn(set().union(*words)).__getitem__
             for i, ws in enumerate(words, part.start):
                 if not ws or not any(map(str.isalpha, texts[i].decode("utf-8", "replace"))):
@@ -248,18 +253,23 @@ class Predictor:
 def training_rows(documents: DataFrame) -> list[tuple[bytes, str]]:
     """A bounded sample of documents with a language that are not held out, as many of each language and as many bytes."""
     usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
-    languages = usable.select("lang").distinct().count()
+    counts = usable.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
+    languages = counts.count()
     if not languages:
         return []
+    each = max(1, MOST_DOCUMENTS // languages)
     number = F.xxhash64("doc_id", "text", F.lit("lang"))
-    rows = usable.select("lang", number.alias("number"), F.octet_length("text").alias("size"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("number"))
-    rows = rows.withColumn("rank", rank).where(F.col("rank") <= max(1, MOST_DOCUMENTS // languages)).collect()
+    rows = usable.select("lang", number.alias("number"), F.octet_length("text").alias("size")).withColumn("part", F.pmod("number", F.lit(PARTS)))
+    # only rows that can be among the lowest are ranked, so that a common language is not one task's work
+    rows = rows.join(F.broadcast(counts) if languages <= BROADCAST_ROWS else counts, F.col("lang") == F.col("of"))
+    rows = rows.where(F.col("part") < F.ceil(F.lit(SPARE * each * PARTS) / F.col("n")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("part", "number"))
+    rows = rows.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "number", "part", "size").collect()
     share, chosen = MOST_BYTES // languages, []
     for lang in {r["lang"] for r in rows}:
-        total, mine = 0, sorted((r["number"], r["size"]) for r in rows if r["lang"] == lang)
-        fits = [x for x in mine if (total := total + x[1]) <= share or (total := total - x[1]) < 0]
-        chosen += [x[0] for x in fits or [min(mine, key=lambda x: x[::-1])]]
+        total, mine = 0, sorted((r["part"], r["number"], r["size"]) for r in rows if r["lang"] == lang)
+        fits = [x for x in mine if (total := total + x[2]) <= share or (total := total - x[2]) < 0]
+        chosen += [x[1] for x in fits or [min(mine, key=lambda x: x[::-1])]]
     spark = documents.sparkSession
     picked = F.broadcast(spark.createDataFrame([(n,) for n in set(chosen)], "picked long"))  # at most MOST_DOCUMENTS, or one a language
     found = usable.select("text", "lang", number.alias("number")).join(picked, F.col("number") == F.col("picked"), "left_semi")
