@@ -24,13 +24,14 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sarnai.llm.common import as_bytes, blocks, held_out, keep_rows, map_columns
 
-MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 600, 2000, 24_000_000  # labelled rows to learn from, at most, and their bytes
+MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 600, 2000, 16_000_000  # labelled rows to learn from, at most, and their bytes
 WINDOW, STEP = 8, 7  # words; neighbours share one, so every pair of words is in a window
 START, PIECE = 8, 64
 ORDINARY_BYTES, TOXIC_BYTES, NEGATIVE_BYTES, ROUNDS = 32_768, 2_048, 8_192, 2
@@ -138,34 +139,38 @@ def _stems(word: str) -> Iterator[str]:
     return (whole[:n] for n in range(LEAST_STEM, min(START, len(whole)) + 1))
 
 
-def _counts(rows: list[list[str]]) -> tuple[Counter, Counter, int]:
-    """Uses of stems and word pairs (at most MOST_IN_ROW in a row), rows they are in, and words; copied passages once."""
+def _counts(rows: list[list[str]], wanted: set[str] | None = None) -> tuple[Counter, Counter, int]:
+    """Uses of stems and word pairs (at most MOST_IN_ROW in a row), rows they are in, and words; copied passages once.
+    wanted: the only ones to count, if given, as an ordinary row has very many others."""
     uses, spread, n, seen = Counter(), Counter(), 0, set()
     for ws in rows:
-        around = list(zip(["", *ws], ws, [*ws[1:], ""], strict=False))
+        around = [xxhash.xxh64_intdigest(" ".join(a)) for a in zip(["", *ws], ws, [*ws[1:], ""], strict=False)]
         fresh = [a not in seen for a in around]
         seen.update(around)
         found: Counter = Counter()
         for w, k in Counter(w for w, new in zip(ws, fresh, strict=True) if new).items():
             for s in _stems(w):
                 found[s] += k
-        found.update(Counter(f"{a} {b}" for a, b, new in zip(ws, ws[1:], fresh, strict=False) if new))
+        found.update(f"{a} {b}" for a, b, new in zip(ws, ws[1:], fresh, strict=False) if new)
         for unit, k in found.items():
-            uses[unit] += min(k, MOST_IN_ROW)
-        spread.update(found.keys())
+            if wanted is None or unit in wanted:
+                uses[unit] += min(k, MOST_IN_ROW)
+                spread[unit] += 1
         n += sum(fresh)
     return uses, spread, n
 
 
 def toxic_samples(toxic: list[list[str]], ordinary: list[list[str]]) -> tuple[list[bytes], dict[str, str | None]]:
     """Stretches of toxic rows to train on; the stem, if any, that makes a word one of them."""
-    (uses, spread, n), (base, _, m) = _counts(toxic), _counts(ordinary)
+    uses, spread, n = _counts(toxic)
+    met = {u for u, rows in spread.items() if rows >= SUPPORT}
+    base, _, m = _counts(ordinary, met)
 
     def strong(unit: str) -> bool:
         expected = (base[unit] + 1) * n / max(1, m)
-        return spread[unit] >= SUPPORT and uses[unit] >= LIFT * expected and uses[unit] - expected >= LEAST_Z * (expected + 0.5) ** 0.5
+        return uses[unit] >= LIFT * expected and uses[unit] - expected >= LEAST_Z * (expected + 0.5) ** 0.5
 
-    over, stem = {u for u in uses if strong(u)}, {}
+    over, stem = {u for u in met if strong(u)}, {}
     out = []
     for ws in toxic:
         for w in ws:
