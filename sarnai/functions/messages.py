@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sarnai.functions.text import fmt_ms, plural
+from sarnai.functions.text import fmt_ms, plural, upper_one
 
 # Limits, choices and reply texts that results depend on.
 MESSAGE_LIMIT, LINE_LIMIT, ATTACHMENTS, FIXES_SHOWN = 4096, 3500, 10, 12
@@ -292,10 +292,10 @@ def split_text(text: Column, limit: int = MESSAGE_LIMIT) -> Column:
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(F.pandas_udf(cut, "array<string>")(F.when(F.length(text) > limit, text)))
 
 
-def capitalize_sentences(text: Column) -> Column:
-    """The first letter of the text and of what follows an end mark and blanks, in upper case."""
-    parts = F.regexp_extract_all(text, F.lit(r"(?sU)(?:^|\G)(.*?(?:[.!?]\s+|$))"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))), "")
+def capitalize_sentences(text: Column, blank: str = r"\s") -> Column:
+    """The first letter of the text and of what follows an end mark and blanks, in upper case, one letter for one; all else stays, a final line end too."""
+    parts = F.regexp_extract_all(text, F.lit(rf"(?sU)(?:^|\G)(.*?(?:[.!?]{blank}+|\z))"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.concat(upper_one(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))), "")
 
 
 # pages of columns

@@ -3,12 +3,16 @@
 import itertools
 import json
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from sarnai.functions import font, recurrent
 from sarnai.functions import messages as M
+from sarnai.plans import catalogue, rules
 from sarnai.sources import longpoll
 
 PHOTO = {"type": "photo", "photo": {"id": 7, "owner_id": 5, "sizes": [{"url": "s", "width": 1, "height": 2}, {"url": "l", "width": 9, "height": 9}, {"url": "m", "width": 9, "height": 9}]}}
@@ -110,6 +114,24 @@ def test_splitting_and_packing(spark):
     assert value(spark, texts)[0].startswith("📷 Текст с фото · столбцов: 1\n\nТранслитерация:\ny\n\nТодо бичик:\nx\n\n⚠️ Не разобрал 2 столбца")
 
 
+def test_capitals_keep_every_character(spark):
+    assert value(spark, M.capitalize_sentences(F.lit("ßa. ßb.\n"))) == "ẞa. ẞb.\n"
+    assert [value(spark, M.capitalize_sentences(F.lit(t))) for t in ("a\n", "\n\n", "a.\r\n", "a.\u00a0b")] == ["A\n", "\n\n", "A.\r\n", "A.\u00a0B"]
+
+
+def test_capitalized_texts_equal_sql(spark, tmp_path):
+    letters = [chr(c) for c in range(1, 0x1F000) if not 0xD800 <= c < 0xE000 and (chr(c).lower() != chr(c).upper() or chr(c).isspace() or 0xA7C0 <= c < 0xA7E0 or 0x1C80 <= c < 0x1C90 or 0x10D40 <= c < 0x10D90)]
+    texts = [p.replace("@", c) for c in letters for p in ("@", "a. @b", "A@", "ab.@cd", "x@\n", "Σ@Σ. Σ@")]
+    texts += [None, "", "\n", "\n\n", "a.\r\n", "a. b\r\n", "..  .a", "a?! b"]
+    at = str(tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": range(len(texts)), "text": texts}), at)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}'")
+    want = dict(con.execute(catalogue.ORACLES["capitalized_texts"]).fetchall())
+    got = {r.doc_id: r.digest for r in rules.capitalized_texts(spark, str(tmp_path)).collect()}
+    assert [texts[i] for i in want if got[i] != want[i]] == [] and len(got) == len(texts)
+
+
 RULES = font.Rules({"r_uni": {"a": {"A": 3}, "b": {"B": 2}, "aˉ": {"Ъ": 1}, "ˉ": {"~": 9}, "ab": {"X": 1}}, "r_pos": {"S|a": {"1": 1}}, "r_prev": {}, "r_next": {}, "r_tri": {"I|#|b|a": {"Y": 2}}}, {"a": 0.9, "b": 0.9, "ab": 0.85, "ˉ": 0.9, "aˉ": 0.001})
 
 
