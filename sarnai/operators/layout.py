@@ -97,11 +97,13 @@ def text_is_light(dark_run: Column, light_run: Column, light: Column, total: Col
 
 
 def label_runs(runs: DataFrame) -> DataFrame:
-    """The runs with ``piece``: 8-connected components, numbered by page in reading order of their first run."""
+    """The runs with ``piece``: 8-connected components, numbered by page in reading order of their first run.
+
+    Runs are joined from row to row only; those of one row may meet or overlap, and do not join each other."""
     ship(runs.sparkSession)
 
     def label(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y", "x0"], ignore_index=True)
+        rows = rows.sort_values(["y", "x0", "x1"], ignore_index=True)
         y, x0, x1 = (rows[c].to_numpy(np.int64) for c in ("y", "x0", "x1"))
         tree = np.arange(len(rows))
 
@@ -113,16 +115,18 @@ def label_runs(runs: DataFrame) -> DataFrame:
 
         values, begin = np.unique(y, return_index=True)
         span = {int(v): (int(b), int(e)) for v, b, e in zip(values, begin, [*begin[1:], len(y)], strict=True)}
-        for v, (a, end) in span.items():
-            b, last = span.get(v - 1, (0, 0))
-            while a < end and b < last:  # runs touch if they overlap when widened by one
-                if x0[a] <= x1[b] and x0[b] <= x1[a]:
-                    p, q = root(a), root(b)
+        for v in span:
+            if v - 1 not in span:
+                continue
+            # both rows' runs by x0: each joins the live ones of the other row, and of these, now one piece, the longest stays
+            live: tuple[list[int], list[int]] = ([], [])
+            for _, side, i in sorted((x0[i], side, i) for side in (0, 1) for i in range(*span[v - side])):
+                near = [j for j in live[1 - side] if x1[j] >= x0[i]]  # runs touch if they overlap when widened by one
+                for j in near:
+                    p, q = root(i), root(j)
                     tree[max(p, q)] = min(p, q)
-                if x1[a] < x1[b]:
-                    a += 1
-                else:
-                    b += 1
+                live[1 - side][:] = [max(near, key=x1.__getitem__)] if near else []
+                live[side].append(i)
         rows["piece"] = np.unique([root(i) for i in range(len(rows))], return_inverse=True)[1]
         return rows[["page_id", "y", "x0", "x1", "piece"]]
 

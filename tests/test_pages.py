@@ -56,6 +56,25 @@ def test_labels_equal_flood_fill(spark, random_pages):
         assert sorted(r.ink for r in pieces if r.page_id == page) == flood(ink)
 
 
+def test_labels_of_runs_that_meet_in_a_row(spark):
+    rng = np.random.default_rng(2)
+    rows = [(1, 0, 4, 6), (1, 1, 1, 6), (1, 1, 6, 8), (1, 2, 20, 22)]  # 4 to 6 ends with one and meets the next
+    rows += [(p, int(y), int(a), int(a + n)) for p in (2, 3, 4) for y, a, n in zip(rng.integers(0, 12, 60), rng.integers(0, 40, 60), rng.integers(0, 7, 60), strict=True)]
+    want = []
+    for page in (1, 2, 3, 4):
+        left = [r for r in rows if r[0] == page]
+        while left:
+            found = todo = [left.pop()]
+            while todo:
+                todo = [r for r in left if any(abs(r[1] - o[1]) == 1 and r[2] <= o[3] and o[2] <= r[3] for o in todo)]
+                left = [r for r in left if r not in todo]
+                found = found + todo
+            want.append((page, len(found), sum(r[3] - r[2] for r in found)))
+    runs = spark.createDataFrame(rows, RUNS)
+    got = layout.label_runs(runs).groupBy("page_id", "piece").agg(F.count("*").alias("n"), F.sum(F.col("x1") - F.col("x0")).alias("ink")).collect()
+    assert sorted((r.page_id, r.n, r.ink) for r in got) == sorted(want)
+
+
 def test_projection_and_vertical_runs(spark, random_pages):
     runs = spark.createDataFrame(runs_of(random_pages), RUNS)
     at = {(r.page_id, x): r.n for r in layout.projection(runs).collect() for x in range(r.x0, r.x1)}
